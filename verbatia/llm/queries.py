@@ -18,6 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.html_text import extract_text
+
+    rows = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.secrets import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbatia.llm.pieces import encode_pieces
 
@@ -30,6 +43,16 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.language import identify, learn_languages
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    model = learn_languages(docs.filter("not held_out"))
+    rows = identify(docs.select("doc_id", "held_out", "text"), model)
+    return rows.select("doc_id", "held_out", "lang_pred.lang", "lang_pred.score").withColumnRenamed("lang", "lang_pred")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbatia.llm.token_files import read_tokens, token_digest, write_tokens
 
@@ -44,5 +67,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op6_pieces, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_html_text, op3_secrets, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
