@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2).drop("text_key")
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbatia.llm.html_text import extract_text
 
@@ -67,5 +73,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_secrets, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
