@@ -37,6 +37,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.repeats import remove_repeats, repeat_digest
+
+    return repeat_digest(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbatia.llm.pieces import encode_pieces
 
@@ -73,5 +79,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
