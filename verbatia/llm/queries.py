@@ -43,6 +43,12 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbatia.llm.pieces import encode_pieces
 
@@ -79,5 +85,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op5_embeddings, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
