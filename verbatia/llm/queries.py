@@ -61,6 +61,12 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.katz import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbatia.llm.language import identify, learn_languages
 
@@ -85,5 +91,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op5_embeddings, op6_pieces, op8_language, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op5_embeddings, op6_pieces, op7_katz, op8_language, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
