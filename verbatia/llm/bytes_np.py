@@ -7,8 +7,6 @@ probability near 2**-64; operators that must be exact state where they rely on t
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,18 +44,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INV):
-        p = np.full(n, base, dtype=U)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
+_power_tables = [np.ones(1, U), np.ones(1, U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 16, 1 << int(n).bit_length()))
+    """Powers of the base and of its inverse, n at least; the largest tables asked for are kept."""
+    if len(_power_tables[0]) < n:
+        for i, base in enumerate((_BASE, _INV)):
+            p = np.full(n + n // 8, base, dtype=U)
+            p[0] = 1
+            _power_tables[i] = np.cumprod(p)
+    return _power_tables[0], _power_tables[1]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +82,8 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums of position-weighted values, for ``span_hash``."""
     p, _ = powers(len(values) + 1)
     out = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * p[: len(values)], out=out[1:])
-    return out
+    np.multiply(values, p[: len(values)], out=out[1:])
+    return np.cumsum(out, out=out)
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

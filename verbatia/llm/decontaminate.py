@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import ALNUM, Words, chunks, mix, prefix_sums, span_hash, U
@@ -181,7 +181,7 @@ def _match(docs: DataFrame, index, spelling) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13) -> DataFrame:
-    """Rows (doc_id, n_words, hits, items): hit word ranges and the sorted ids of occurring items, per document."""
+    """Rows (doc_id, text_key, n_words, hits, items): text_key is xxhash64 of the text; hit word ranges and the sorted ids of occurring items, per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
@@ -192,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).distinct() if blocks > 1 else items.distinct()
         parts.append(_match(docs, *_index(docs, [tuple(r) for r in own.collect()], size)))
     if blocks == 1:
-        return parts[0].drop("text_key")
+        return parts[0]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -207,17 +207,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ).otherwise(F.concat(acc, F.array(x))),
     )
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return joined.select("doc_id", "n_words", merged.alias("hits"), "items")
+    return joined.select("doc_id", "text_key", "n_words", merged.alias("hits"), "items")
+
+
+def hit_words() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+
+
+def contaminated() -> Column:
+    """Some hit, and at least a twentieth of the words."""
+    return (hit_words() > 0) & (20 * hit_words() >= F.col("n_words"))
 
 
 def contamination(found: DataFrame) -> DataFrame:
-    """Counts and the verdict: some hit, and at least a twentieth of the words."""
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+    """Counts and the verdict."""
     return found.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        hit_words().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )

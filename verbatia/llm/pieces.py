@@ -118,8 +118,8 @@ def _segmenter(path: str) -> Segmenter:
     return Segmenter(path)
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, ids, decoded): all ids of the text, without begin or end ids, and their decoded text."""
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, ids, decoded) and the columns to keep: all ids of the text, without begin or end ids, and their decoded text."""
 
     def run(batches):
         segment = _segmenter(model)
@@ -128,12 +128,15 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 coded = segment(data, offsets)
                 ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in coded])]).astype(np.int32)
                 flat = pa.array(np.concatenate([ids for ids, _ in coded]).astype(np.int32))
+                own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([said for _, said in coded], pa.string())],
-                    ["doc_id", "ids", "decoded"],
+                    [own.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([said for _, said in coded], pa.string()), *(own.column(f"keep{i}") for i in range(len(keep)))],
+                    ["doc_id", "ids", "decoded", *(f"keep{i}" for i in range(len(keep)))],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
+    kept = "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string" + kept).withColumnsRenamed({f"keep{i}": c for i, c in enumerate(keep)})
 
 
 def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -30,7 +30,7 @@ from verbatia.llm.work import Workspace, restrict
 
 GRAM = 64
 #: Bytes of one text that are worked on at once; longer texts pass in overlapping segments.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 _PLACE = U((1 << 24) - 1)
 
 
@@ -191,14 +191,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches):
         for batch in batches:
-            kept = []
-            for text, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist()):
-                at, parts = 0, []
-                for r in ranges:
-                    parts.append(text[at : r["s"]])
-                    at = r["e"]
-                kept.append(b"".join([*parts, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), batch.column("spans"), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            for lo, hi, data, offsets in chunks(batch.column("text")):
+                part, kept = batch.slice(lo, hi - lo), []
+                for d, ranges in enumerate(part.column("spans")):
+                    at, parts = offsets[d], []
+                    for r in ranges.as_py():
+                        parts.append(data[at : offsets[d] + r["s"]].tobytes())
+                        at = offsets[d] + r["e"]
+                    kept.append(b"".join([*parts, data[at : offsets[d + 1]].tobytes()]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), part.column("spans"), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     sized = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     keys = spans.select("text_key")
