@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from verbatia.functions.normalize import line_of
 from verbatia.operators import corpus as corpora
-from verbatia.operators import edits, evaluate, extract, fuzzy, intervals, phrases, suggest
+from verbatia.operators import approximate, edits, evaluate, extract, fuzzy, intervals, phrases, suggest, verify
 from verbatia.operators.tokens import segments, tokenize, tokenize_with_offsets
+from verbatia.plans import audit
 from verbatia.sources import files
 from verbatia.streaming import state
 
@@ -357,5 +358,63 @@ def word_errors(spark, sf):
     return evaluate.word_errors(pairs, "text", "read").select("item_id", "words.*")
 
 
+@query
+def exact_occurrences(spark, sf):
+    """The first three words of every work's every unit, over all works."""
+    return verify.exact_occurrences(_unit_heads(spark, sf), _corpus(spark, sf))
+
+
+def _unit_heads(spark: SparkSession, sf: str) -> DataFrame:
+    c = _corpus(spark, sf)
+    heads = c.tokens.join(c.bounds, ["work", "unit"]).filter("pos < p0 + 3").groupBy("work", "unit").agg(F.array_sort(F.collect_list(F.struct("pos", "fold"))).alias("w"))
+    return heads.select((F.col("work") * 1000 + F.col("unit")).alias("quote_id"), F.transform("w", lambda x: x["fold"]).alias("words"), F.col("work").alias("ref_work"), F.col("unit").alias("ref_unit0"), F.col("unit").alias("ref_unit1"))
+
+
+@query
+def verify_quotes(spark, sf):
+    """Unit openings verified with the citation of their unit."""
+    c, q = _corpus(spark, sf), _unit_heads(spark, sf)
+    places = verify.covered_units(verify.exact_occurrences(q, c), c).select("quote_id", "work", "p0", "p1", "unit0", "unit1")
+    return verify.verify(q, places)
+
+
+@query
+def approximate_runs(spark, sf):
+    return approximate.approximate_runs(_tokens(spark, sf).select("doc_id", "tok", "fold"), _corpus(spark, sf))
+
+
+@query
+def audit_findings(spark, sf):
+    return audit.audit(_docs(spark, sf), _corpus(spark, sf))
+
+
+@query
+def word_completion(spark, sf):
+    """Words of the corpus that complete the last, unfinished word of a turn after the word before it."""
+    words = F.transform(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), -2, 2), F.lower)
+    turns = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), words.alias("w")).filter("size(w) = 2")
+    tails = turns.select("doc_id", F.col("w")[0].alias("fold"), F.col("w")[1].alias("part"))
+    known = _corpus(spark, sf).pairs.groupBy("fold", "next_fold").agg(F.count("*").alias("places"))
+    met = tails.join(known, "fold").filter(F.col("next_fold").startswith(F.col("part")) & (F.length("next_fold") > F.length("part")))
+    return met.select("doc_id", "part", F.col("next_fold").alias("word"), "places")
+
+
+@query
+def pooled_error_rates(spark, sf):
+    """Word error counts of a damaged copy of every item, pooled over all and by length class; a missing page misses all words."""
+    b = _table(spark, sf, "benchmark").withColumn("kind", F.when(F.length("text") < 220, "short").otherwise("long"))
+    read = b.filter("item_id % 10 <> 9").select("item_id", F.regexp_replace("text", r"\bthe\b ?", "").alias("read"))
+    e = evaluate.word_errors(b.join(read, "item_id", "left"), "text", "read")
+    c = e.select("kind", F.col("words.equal").alias("ok"), (F.col("words.substituted") + F.col("words.deleted") + F.col("words.inserted")).alias("wrong"), (F.col("words.equal") + F.col("words.substituted") + F.col("words.deleted")).alias("n"))
+    return c.groupingSets([[], [F.col("kind")]], "kind").agg(F.sum("n").alias("n_words"), F.sum("wrong").alias("n_wrong"), evaluate.rate(F.sum("wrong"), F.sum("n")).alias("wer"))
+
+
+@query
+def event_windows(spark, sf):
+    e = _table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    return w.select("event_type", F.unix_timestamp("w.start").alias("start"), "n")
+
+
 # Registered under the name of its SQL.
 QUERIES["segments"] = QUERIES.pop("segments_of")

@@ -46,7 +46,7 @@ TIER = "case when mass < 6.0 then 'hidden' when (words >= 4 and mass >= 12.0) or
 
 def greedy(source: str, order: str, name: str = "kept") -> str:
     """Greedy disjoint choice as a recursion over each document's ranks; source has doc_id, s, e."""
-    return f"""ranked as (select *, row_number() over (partition by doc_id order by {order}) as rn from {source}),
+    return f"""ranked as materialized (select *, row_number() over (partition by doc_id order by {order}) as rn from {source}),
 walk as (
   select doc_id, rn, [{{'s': s, 'e': e}}] as taken, true as stays from ranked where rn = 1
   union all
@@ -222,4 +222,48 @@ from b a join b on b.item_id = a.item_id + 1""",
     "tier_pivot": f"""{BASE}, t as (select *, {TIER} as tier from runs)
 select d.lang, count(*) filter (t.tier = 'candidate') as candidate, count(*) filter (t.tier = 'possible') as possible, count(*) filter (t.tier = 'hidden') as hidden
 from t join documents d using (doc_id) group by d.lang""",
+    "exact_occurrences": f"""with {CORPUS},
+heads as (select c.work * 1000 + c.unit as quote_id, list(c.fold order by c.pos) as words from ctok c join bounds b on b.work = c.work and b.unit = c.unit where c.pos < b.p0 + 3 group by c.work, c.unit),
+streams as (select work, pos as p0, list(fold) over (partition by work order by pos rows between current row and 2 following) as ahead from ctok)
+select cast(quote_id as bigint) as quote_id, work, p0, p0 + len(words) as p1 from heads join streams on ahead[1] = words[1] and ahead[1:len(words)] = words""",
+    "verify_quotes": f"""with {CORPUS},
+heads as (select c.work * 1000 + c.unit as quote_id, c.work as ref_work, c.unit as ref_unit, list(c.fold order by c.pos) as words from ctok c join bounds b on b.work = c.work and b.unit = c.unit where c.pos < b.p0 + 3 group by c.work, c.unit),
+streams as (select work, pos as p0, list(fold) over (partition by work order by pos rows between current row and 2 following) as ahead from ctok),
+met as (select h.*, s.work, s.p0, s.p0 + len(words) as p1 from heads h join streams s on s.ahead[1:len(h.words)] = h.words),
+placed as (select m.*, (select min(unit) from bounds b where b.work = m.work and b.p0 < m.p1 and m.p0 < b.p1) as unit0, (select max(unit) from bounds b where b.work = m.work and b.p0 < m.p1 and m.p0 < b.p1) as unit1 from met m),
+fit as (select *, work = ref_work and ref_unit <= unit1 and unit0 <= ref_unit as fits from placed),
+agg as (select quote_id, len(any_value(words)) as n_words, count(*) as occurrences, count(*) filter (fits) as confirmed,
+  min(struct_pack(w := work, a := p0, b := p1)) filter (fits) as named, min(struct_pack(w := work, a := p0, b := p1)) as anywhere from fit group by quote_id),
+pick as (select *, case when occurrences = 1 then anywhere when confirmed >= 1 then named end as chosen from agg)
+select cast(quote_id as bigint) as quote_id, n_words, occurrences, confirmed,
+  case when occurrences = 0 then 'difference' when confirmed >= 1 or (occurrences = 1 and n_words >= 3) then 'matched' else 'uncertain' end as status,
+  chosen.w as work, chosen.a as p0, chosen.b as p1 from pick""",
+    "audit_findings": f"""{BASE},\n{OFFSETS},\n{spans_of('m', 'documents', NUMERIC)},
+t as (select *, {TIER} as tier from runs), shown as (select * from t where tier <> 'hidden'),
+src as materialized (select doc_id, d0 as s, d1 as e, count(*) as occurrences, min(struct_pack(w := work, a := b0, b := b1)) as place, max(mass) as mass, min(tier) as tier from shown group by doc_id, d0, d1),
+{greedy('src', '-mass, s, e')},
+k as (select doc_id, s as d0, e as d1, occurrences, place.w as work, place.a as p0, place.b as p1, mass, tier from kept),
+u as (select k.*, min(b.unit) as unit0, max(b.unit) as unit1, min(b.p0) as u0, max(b.p1) as u1 from k join bounds b on b.work = k.work and b.p0 < k.p1 and k.p0 < b.p1 group by all),
+c as (select *, case when u0 = p0 and u1 = p1 then 'full' when unit0 = unit1 then 'partial' else 'multi-partial' end as coverage from u),
+pl1 as materialized (select c.*, a.start as s, a.gap as before, c.d1 - 1 as d_last from c join doff a on a.doc_id = c.doc_id and a.tok = c.d0),
+pl2 as materialized (select p.*, z."end" as e from pl1 p join doff z on z.doc_id = p.doc_id and z.tok = p.d_last),
+pl as materialized (select p.*, x.gap as after from pl2 p left join doff x on x.doc_id = p.doc_id and x.tok = p.d1),
+ref as (select *, cast(regexp_extract(found, '([0-9]+)[:.]([0-9]+)(?:-([0-9]+))?', 1) as int) as chapter, cast(regexp_extract(found, '([0-9]+)[:.]([0-9]+)(?:-([0-9]+))?', 2) as int) as verse,
+  coalesce(cast(nullif(regexp_extract(found, '([0-9]+)[:.]([0-9]+)(?:-([0-9]+))?', 3), '') as int), cast(regexp_extract(found, '([0-9]+)[:.]([0-9]+)(?:-([0-9]+))?', 2) as int)) as last from m),
+nr as (select pl.doc_id, pl.d0, pl.d1, min(r.s) as at from pl join ref r on r.doc_id = pl.doc_id and r.s >= pl.e and r.s <= pl.e + 40 group by all),
+f as (select pl.*, r.found, r.chapter, r.verse, r.last from pl left join nr on nr.doc_id = pl.doc_id and nr.d0 = pl.d0 and nr.d1 = pl.d1 left join ref r on r.doc_id = pl.doc_id and r.s = nr.at)
+select f.doc_id, f.s, f.e, substring(d.text, f.s + 1, f.e - f.s) as quote, work, p0, p1, tier, mass, coverage, occurrences,
+  case when coverage = 'full' then 'unit_start' when d0 = 0 then 'text_start' when regexp_matches(before, '[.!?:;\\n]') then 'punctuation' else 'uncertain' end as start_status,
+  case when coverage = 'full' then 'unit_end' when after is null then 'text_end' when regexp_matches(after, '[.!?:;\\n]') then 'punctuation' else 'uncertain' end as end_status,
+  found as reference,
+  case when chapter is null then 'missing' when last < verse or chapter = 0 or verse = 0 then 'incorrect' when chapter = work and verse <= unit0 and unit1 <= last then 'matched'
+    when chapter = work and verse <= unit1 and unit0 <= last then 'uncertain' else 'incorrect' end as reference_status
+from f join documents d on d.doc_id = f.doc_id""",
+    "word_completion": f"""with {CORPUS},\n{TURN},
+n as (select doc_id, max(tok) as last from ttok group by doc_id having count(*) >= 2),
+tails as (select n.doc_id, a.fold, b.fold as part from n join ttok a on a.doc_id = n.doc_id and a.tok = n.last - 1 join ttok b on b.doc_id = n.doc_id and b.tok = n.last),
+p as (select fold, lead(fold) over (partition by work order by pos) as next_fold from ctok),
+known as (select fold, next_fold, count(*) as places from p where next_fold is not null group by fold, next_fold)
+select doc_id, part, next_fold as word, places from tails join known using (fold) where starts_with(next_fold, part) and length(next_fold) > length(part)""",
+    "event_windows": "select event_type, cast(epoch(date_trunc('day', ts)) as bigint) as start, count(*) as n from events group by event_type, date_trunc('day', ts)",
 }
