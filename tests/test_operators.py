@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatia.functions.normalize import ARABIC, GENERIC, clean_text, scrub
-from verbatia.operators import corpus, edits, evaluate, extract, fuzzy, intervals, phrases
+from verbatia.operators import approximate, corpus, edits, evaluate, extract, fuzzy, intervals, phrases, verify
 from verbatia.operators.tokens import tokenize, tokenize_with_offsets
+from verbatia.plans import audit
 from verbatia.sources import files
 from verbatia.streaming import state
 
@@ -181,3 +182,41 @@ def test_proposals(spark):
     rows = [("a", "failed", None), ("a", "ok", '{"quotes": [{"quote": "q", "reference_text": "r"}]}'), ("b", "ok", "not json")]
     got = files.provider_proposals(spark.createDataFrame(rows, "id string, outcome string, answer string")).collect()
     assert [(r.id, r.quote, r.reference_text) for r in got] == [("a", "q", "r")]
+
+
+def test_alignments_stay_within_the_budget():
+    r = random.Random(9)
+    for _ in range(200):
+        a = [r.choice("abcdefgh") * 3 for _ in range(12)]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            b[r.randrange(len(b))] = "zzz"
+        edits, left, right = approximate.stretch((a[:4][::-1], b[:4][::-1]), (a[6:], b[6:]), 2)
+        assert edits <= 2
+        for side, x, y in ((left, a[:4][::-1], b[:4][::-1]), (right, a[6:], b[6:])):
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(side, side[1:]))
+            assert all(x[i] == y[j] or fuzzy.near_word(x[i], y[j]) for i, j in side)
+    assert approximate.stretch(([], []), (["one", "two", "three"], ["one", "xx", "three"]), 2)[2] == [(0, 0), (2, 2)]
+
+
+def test_quotations_and_citations(spark):
+    works = spark.createDataFrame([(1, "alpha beta gamma delta. one two three four"), (2, "one two three five")], "item_id long, text string")
+    c = corpus.build_corpus(works)
+    quotes = [(1, "alpha beta gamma", None, None), (2, "one two three", None, None), (3, "one two three", 2, 0), (4, "beta gamma", None, None), (5, "no such words", None, None), (6, "beta gamma", 1, 0)]
+    df = spark.createDataFrame([(i, q.split(), w, u, u) for i, q, w, u in quotes], "quote_id long, words array<string>, ref_work long, ref_unit0 long, ref_unit1 long")
+    places = verify.covered_units(verify.exact_occurrences(df, c), c)
+    got = {r.quote_id: (r.status, r.work) for r in verify.verify(df, places.select("quote_id", "work", "p0", "p1", "unit0", "unit1")).collect()}
+    assert got == {1: ("matched", 1), 2: ("uncertain", None), 3: ("matched", 2), 4: ("uncertain", 1), 5: ("difference", None), 6: ("matched", 1)}
+    coverage = {r.quote_id: r.coverage for r in places.filter("work = 1").collect()}
+    assert coverage[1] == "partial"
+
+
+def test_an_audit_of_a_clean_and_a_copying_text(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    source = [word() for _ in range(30)]
+    docs = [(1, " ".join(word() for _ in range(40))), (2, "intro words. " + " ".join(source[5:15]) + ". (7:0)")]
+    works = spark.createDataFrame([(7, " ".join(source)), (8, " ".join(word() for _ in range(30)))], "item_id long, text string")
+    found = audit.audit(spark.createDataFrame(docs, "doc_id long, text string"), corpus.build_corpus(works), phrases.Thresholds(mass_floor=0.0, mass_candidate=2.0)).collect()
+    assert [(f.doc_id, f.quote, f.work, f.p0, f.p1, f.start_status) for f in found] == [(2, " ".join(source[5:15]), 7, 5, 15, "punctuation")]
+    assert found[0].reference == "7:0" and found[0].reference_status == "incorrect"
