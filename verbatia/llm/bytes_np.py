@@ -65,15 +65,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20):
-    """Runs of whole rows of about ``limit`` bytes: (first row, end row, bytes, offsets from 0)."""
+def chunks(column: pa.Array, limit: int = 1 << 20, rows: int = 4096):
+    """Runs of whole rows of about ``limit`` bytes, ``rows`` at most: (first row, end row, bytes, offsets from 0)."""
     if not len(column):
         return
     data, offsets = utf8(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(n, max(lo + 1, hi))
+        hi = min(n, lo + rows, max(lo + 1, hi))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
