@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Identifiers that may be broadcast; beyond that many the same join is left to a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 class Workspace:
