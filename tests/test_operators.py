@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatia.functions.normalize import ARABIC, GENERIC, clean_text, scrub
-from verbatia.operators import approximate, corpus, edits, evaluate, extract, fuzzy, intervals, phrases, verify
+from verbatia.operators import approximate, citations, corpus, edits, evaluate, extract, fuzzy, intervals, phrases, verify
 from verbatia.operators.tokens import tokenize, tokenize_with_offsets
 from verbatia.plans import audit
 from verbatia.sources import files
@@ -220,3 +220,15 @@ def test_an_audit_of_a_clean_and_a_copying_text(spark):
     found = audit.audit(spark.createDataFrame(docs, "doc_id long, text string"), corpus.build_corpus(works), phrases.Thresholds(mass_floor=0.0, mass_candidate=2.0)).collect()
     assert [(f.doc_id, f.quote, f.work, f.p0, f.p1, f.start_status) for f in found] == [(2, " ".join(source[5:15]), 7, 5, 15, "punctuation")]
     assert found[0].reference == "7:0" and found[0].reference_status == "incorrect"
+
+
+def test_named_citations_and_their_quotations(spark):
+    text = "He said one two three (Book Of 3) and, as Letters 2-1 says, four five six. Numbers 9"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    works = spark.createDataFrame([(10, "Book Of", 5), (11, "Letters", 4), (12, "Numbers", 4)], "work long, name string, n_units int")
+    refs = citations.named_references(docs, works)
+    got = sorted((r.s, r.work, r.unit0, r.unit1, r.problem) for r in refs.collect())
+    assert [g[1:] for g in got] == [(10, 3, 3, "none"), (11, 2, 1, "reversed"), (12, 9, 9, "out_of_range")]
+    spans = [(1, text.index(q), text.index(q) + len(q)) for q in ("one two three", "four five six")]
+    attached = citations.attach_references(spark.createDataFrame(spans, "doc_id long, s long, e long"), refs.filter("problem <> 'out_of_range'"))
+    assert [text[r.ref_s : r.ref_e][-3:] for r in attached.orderBy("s").collect()] == ["f 3", "2-1"]
