@@ -138,11 +138,13 @@ def deepened(texts: DataFrame, runs: DataFrame, length: int, step: int) -> DataF
 def _settle(live: DataFrame, ws: Workspace, tag: str) -> tuple[DataFrame, DataFrame]:
     """Runs found repeated whole, and what the next depth needs: open runs and one of each repeated run beside them."""
     live = ws.save(live, f"{tag}-live")
-    wholes = live.groupBy("whole").agg(F.count("*").alias("c"), F.min(F.struct("text_key", "place")).alias("one"))
-    seen = ws.save(live.join(wholes, "whole"), f"{tag}-seen")
-    done = seen.filter("open and c > 1").select("text_key", "place")
-    still = seen.filter("mixed and open and c = 1").select("text_key", "place", "open")
-    beside = seen.filter("mixed and (c > 1 or not open) and one.text_key = text_key and one.place = place").select("text_key", "place", F.lit(False).alias("open"))
+    # Written before it is joined, so that the rows of one string may be split over tasks.
+    wholes = ws.save(live.groupBy("whole").agg(F.count("*").alias("c"), F.min(F.struct("text_key", "place")).alias("one")).filter("c > 1"), f"{tag}-wholes")
+    seen = ws.save(restrict(live, wholes, ["whole"], "left"), f"{tag}-seen")
+    done = seen.filter("open and c is not null").select("text_key", "place")
+    still = seen.filter("mixed and open and c is null").select("text_key", "place", "open")
+    first = (F.col("one.text_key") == F.col("text_key")) & (F.col("one.place") == F.col("place"))
+    beside = seen.filter(F.col("mixed") & F.coalesce(first, ~F.col("open"))).select("text_key", "place", F.lit(False).alias("open"))
     return done, ws.save(still.union(beside.distinct()), f"{tag}-next")
 
 
@@ -158,7 +160,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = 200, q: int = G
     texts = ws.save(restrict(docs.select("text_key", "text"), wanted, ["text_key"]).groupBy("text_key").agg(F.first("text").alias("text")), "texts")
     for i, width in enumerate((step, 1)):
         runs = ws.save(deepened(texts, todo, length, width), f"runs{i}")
-        done, todo = _settle(runs.join(some(runs), "bucket"), ws, f"depth{i + 1}")
+        done, todo = _settle(restrict(runs, ws.save(some(runs), f"shared{i}"), ["bucket"], "inner"), ws, f"depth{i + 1}")
         found.append(done)
     every = found[0].union(found[1]).union(found[2])
     begin, span = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095)
