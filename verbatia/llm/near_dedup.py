@@ -27,7 +27,6 @@ non-null id. Texts of any length pass whole. Only the named columns are read.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -173,9 +172,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(confirmed(pairs, "second"))
     comps = ws.save(components(links, ws, "cc2"), "comps2")
 
-    named = members.filter("n > 0").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    known = members.filter("n > 0").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(named, "comp")
-    out = known.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
+    # Components are named by node; each step is written, so that a large component's rows may be split over tasks.
+    placed = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left")
+    placed = ws.save(placed.select("node", "least", F.coalesce("comp", "node").alias("comp")), "by_node")
+    named = ws.save(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "named")
+    labels = ws.save(restrict(placed, named, ["comp"], "inner").select("node", "component_id"), "labels")
+    out = members.filter("n > 0").join(labels, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
     out = out.union(members.filter("n = 0").select("doc_id", "text_key", "n", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
