@@ -20,11 +20,15 @@ class ChunkTable:
     again by the next change are forgotten. Forgetting bounds memory and changes no result.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], size: int = 300_000):
+    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], size: int = 100_000):
         self.learn, self.size = learn, size
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def clear(self) -> None:
+        """Forget all chunks: a worker that waits for other work holds none."""
+        self.young, self.old = {}, {}
+
     def of(self, chunks: list[bytes]) -> list[bytes]:
         """The values of distinct chunks."""
         if len(self.young) > self.size:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import ALNUM, Words, chunks, mix, prefix_sums, span_hash, U
+from verbatia.llm.work import bound_batches, give_back
 
 GRAM = 3
 BLOCK_BYTES = 8 << 20
@@ -176,12 +177,14 @@ def _match(docs: DataFrame, index, spelling) -> DataFrame:
                     [ids.slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array(hits, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     ["doc_id", "text_key", "n_words", "hits", "items"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13) -> DataFrame:
     """Rows (doc_id, text_key, n_words, hits, items): text_key is xxhash64 of the text; hit word ranges and the sorted ids of occurring items, per document."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")

@@ -18,6 +18,7 @@ columns are read.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import U, chunks, mix
+from verbatia.llm.work import bound_batches, give_back
 
 DIMENSIONS = 1024
 SYMBOLS, OTHERS = 64, 37
+#: Trigrams that are bound at once; their vectors fit a core's cache.
+BLOCK = 512
 UNKNOWN = "und"
 
 
@@ -55,12 +59,12 @@ def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of the grams' vectors by their counts."""
     first, second, third = _vectors()
     total = np.zeros(DIMENSIONS)
-    for at in range(0, len(grams), 4096):
-        g = grams[at : at + 4096]
+    for at in range(0, len(grams), BLOCK):
+        g = grams[at : at + BLOCK]
         bound = first[g >> 12]
         bound *= second[(g >> 6) & 63]
         bound *= third[g & 63]
-        total += counts[at : at + 4096].astype(np.float32) @ bound.astype(np.float32)
+        total += counts[at : at + BLOCK].astype(np.float32) @ bound.astype(np.float32)
     return total
 
 
@@ -104,11 +108,13 @@ def learn_languages(labelled: DataFrame, text_col: str = "text", lang_col: str =
         for lang, n in totals.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
+        give_back()
 
     def prototype(rows: pd.DataFrame) -> pd.DataFrame:
         v = bundle(rows.gram.to_numpy(), rows.n.to_numpy())
         return pd.DataFrame({"lang": rows.lang[:1], "vector": [v / (np.linalg.norm(v) or 1)]})
 
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return {r.lang: np.array(r.vector) for r in counts.groupBy("lang").applyInPandas(prototype, "lang string, vector array<double>").collect()}
@@ -116,6 +122,7 @@ def learn_languages(labelled: DataFrame, text_col: str = "text", lang_col: str =
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", out: str = "lang_pred") -> DataFrame:
     """All columns, and a struct ``out`` of lang and score."""
+    bound_batches(docs.sparkSession)
     names = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in names]) if names else np.zeros((0, DIMENSIONS))
 
@@ -130,4 +137,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             langs[i], scores[i] = names[best], min(1.0, max(0.0, cosines[best]))
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.withColumn(out, F.pandas_udf(predict, "lang string, score double")(F.col(text_col)))
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield predict(texts)
+        give_back()
+
+    return docs.withColumn(out, F.pandas_udf(each, "lang string, score double")(F.col(text_col)))

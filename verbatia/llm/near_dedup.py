@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import SPACED, U, Words, chunks, mix, shingles
-from verbatia.llm.work import Workspace, components, restrict
+from verbatia.llm.work import Workspace, bound_batches, components, give_back, restrict
 
 BANDS, ROWS = 40, 5
 SKETCH_WORDS = 16
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
                 cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(size), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(level.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(words[:, i]) for i in range(SKETCH_WORDS)], ["doc_id", "text_key", "n", "node", "keys", "level", *_SKETCH])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -109,6 +110,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 h, at = shingles(Words(data, offsets, SPACED), shingle)
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "grams"])
+        give_back()
 
     return docs.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
@@ -123,6 +125,7 @@ def _apart() -> Column:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (doc_id, text_key, n_shingles, component_id, kept); threshold in hundredths."""
+    bound_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "near_dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import chunks
 from verbatia.llm.chunk_table import BLOCK_BYTES, FEED, SPACE, ChunkTable, cut, join
+from verbatia.llm.work import bound_batches, give_back
 
 MARK = "▁"
 
@@ -133,7 +134,10 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     [own.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([said for _, said in coded], pa.string()), *(own.column(f"keep{i}") for i in range(len(keep)))],
                     ["doc_id", "ids", "decoded", *(f"keep{i}" for i in range(len(keep)))],
                 )
+        segment.table.clear()
+        give_back()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
     kept = "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string" + kept).withColumnsRenamed({f"keep{i}": c for i, c in enumerate(keep)})

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Identifiers that may be broadcast; beyond that many the same join is left to a shuffle.
 BROADCAST_IDS = 250_000
+#: Bytes of an Arrow batch of texts; the JVM and the Python worker of every core hold a few of them.
+ARROW_BYTES = "16m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_BYTES``, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, ARROW_BYTES)
+
+
+def give_back() -> None:
+    """Return what a finished task has freed: Python workers live on, and hold it through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class Workspace:
