@@ -10,7 +10,7 @@ from verbatia.llm.bytes_np import BYTE_VALUES, U, mix, prefix_sums, span_hash
 
 SPACE, FEED = 32, 10
 #: Bytes of text whose chunks are joined at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 class ChunkTable:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Identifiers that may be broadcast; beyond that many the same join is left to a shuffle.
 BROADCAST_IDS = 250_000
 #: Bytes of an Arrow batch of texts; the JVM and the Python worker of every core hold a few of them.
-ARROW_BYTES = "16m"
+ARROW_BYTES = "4m"
 
 
 def bound_batches(spark: SparkSession) -> None:
