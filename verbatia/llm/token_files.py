@@ -35,10 +35,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import chunks
-from verbatia.llm.chunk_table import BLOCK_BYTES, FEED, SPACE, ChunkTable, cut, join
+from verbatia.llm.chunk_table import FEED, SPACE, ChunkTable, cut, join
 from verbatia.llm.work import Workspace
 
 MAGIC = b"VBTOKEF1"
+#: Bytes of text whose chunks are joined at once, and chunks of a task's table in each generation.
+BLOCK_BYTES, TABLE_CHUNKS = 2 << 20, 300_000
 
 
 class EliasFano:
@@ -133,7 +135,7 @@ class Tokeniser:
             and len(feed) == 1
             and all(s.startswith("<|") for s in special)
         )
-        self.table = ChunkTable(self._learn)
+        self.table = ChunkTable(self._learn, TABLE_CHUNKS)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
