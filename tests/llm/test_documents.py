@@ -340,6 +340,24 @@ def test_viterbi_is_the_best_path():
         assert score(field.decode(blocks)) == pytest.approx(max(map(score, paths)))
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<script>if (a <b && c) { s = '<!-- '; }</SCRIPT >",
+        "<script>s = \"it's <a href='\"; // don't</script\n>",
+        "<script>'</scripts>'</script/>",
+        "<style>p::before { content: '<x' }</style>",
+        "<textarea><!-- </textarea>",
+        "<svg><script>i<n;</script><path d='M0'/></svg>",
+    ],
+)
+def test_html_raw_elements_end_at_their_end_tag(raw):
+    page = f"<body>{raw}<article><p>one <b>two</b></p>{raw}<p>three</p></article>"
+    assert [b[0] for b in html_text.leaf_blocks(page)] == ["one two", "three"]
+    assert html_text.leaf_blocks("<p>one</p><script>i<n; <p>two</p>") == [("one", ("t=p",), 0)]
+
+
 def test_html_pages(spark):
     page = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A &amp; b</h1><p><b>One\n two.<br><p>Three&nbsp;&eacute;</article><footer>&copy; me</footer>"
     rows = [(1, page), (2, None), (3, ""), (4, "<"), (5, "<script>x</script"), (1, page)]

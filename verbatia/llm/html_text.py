@@ -7,7 +7,8 @@ The field is trained once by gradient ascent of the regularised likelihood on ``
 pages, which are drawn from a grammar of layouts (see ``labelled_page``), a documented, fixed bound.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in
-page order by one space. Text of scripts, styles and other raw elements is no block.
+page order by one space. Text of scripts, styles and other raw elements is no block; what a script, style or
+other element of ``RAW_TEXT`` holds is not read as markup, and only its own end tag ends it.
 
 Cases: a null or empty page, and one without main blocks, gives the empty text. Broken markup is read
 as far as it goes: open elements end with the page, unknown end tags are ignored, a tag that never
@@ -34,6 +35,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Element names of the markup language by their role here.
 RAW = frozenset("script style noscript template textarea title svg iframe object select math head".split())
+RAW_TEXT = frozenset("script style noscript textarea title iframe".split())
+END_TAG = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])[^>]*>?", re.I | re.A) for name in RAW_TEXT}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -65,9 +68,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         path = tuple(f for _, own in stack for f in own)
         linked = sum(name == "a" for name, _ in stack)
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
+    while m := TAG.search(page, at):
         if not raw and m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
@@ -78,6 +79,10 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if not name:
             continue
         closing = bool(m.group(1))
+        if name in RAW_TEXT and not closing and not m.group(3).endswith("/"):
+            end = END_TAG[name].search(page, at)
+            at = end.end() if end else len(page)
+            continue
         if raw:
             if closing and name == raw:
                 raw = ""
