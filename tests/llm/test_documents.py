@@ -290,6 +290,33 @@ def test_secret_layers():
         assert all(d > 0 for *_, d in spans) or wrapped.startswith("p")
 
 
+SECRET = "password=abcdefghijklmnop"
+
+
+def b64(raw: bytes | str) -> str:
+    return base64.b64encode(raw.encode() if isinstance(raw, str) else raw).decode()
+
+
+def found(text: str) -> set[str]:
+    return {k for k, *_ in secrets.find_secrets(text)}
+
+
+def test_secrets_of_large_payloads_and_later_members(monkeypatch):
+    r = random.Random(4)
+    noise = b" ".join(b"%x," % r.getrandbits(40) for _ in range(3000))
+    monkeypatch.setattr(secrets, "INFLATE_LIMIT", 1 << 12)
+    for inner in (b64(SECRET), b64(gzip.compress(SECRET.encode())), "".join(f"%{ord(c):02X}" for c in SECRET), "".join(f"\\u{ord(c):04x}" for c in SECRET), b64(b64("x" * 9000 + SECRET))):
+        for pack in (gzip.compress, zlib.compress, zstandard.compress):
+            text = "a " + b64(pack(noise + inner.encode() + b"\n" + noise)) + " z"
+            assert {(k, s, e) for k, s, e, _ in secrets.find_secrets(text) if k == "assign"} == {("assign", 2, len(text) - 2)}
+    first, secret = b"nothing here, ", SECRET.encode()
+    for pack in (gzip.compress, zlib.compress, zstandard.compress):
+        assert found(b64(pack(first) + pack(secret))) == {"assign"}
+        assert found(b64(pack(first) + b"\0\0" + pack(secret[:12]) + pack(secret[12:]))) == {"assign"}
+    assert found(b64(gzip.compress(first) + b"\x50\x2a\x4d\x18\x02\0\0\0ab" + zstandard.compress(secret))) == {"assign"}
+    assert found(b64(gzip.compress(secret * 9 + noise)[:-3000])) == {"assign"}
+
+
 def test_secret_bases(docs, texts):
     sample = ["token=token:abcdefghijklmnop", 'API_KEY : "AbCdEfGhIjKl"', "AKIAABCDEFGHIJKLMN AKIASHORT", "x 0123456789abcdef0 y", "ſecret=abcdefghijklmnop", None, ""]
 
