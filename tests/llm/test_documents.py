@@ -317,6 +317,28 @@ def test_secrets_of_large_payloads_and_later_members(monkeypatch):
     assert found(b64(gzip.compress(secret * 9 + noise)[:-3000])) == {"assign"}
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\ufeff", "\u200b", "\f", "\0", "\xff", "\x80\x81", "é\u0085"])
+def test_secrets_beside_characters_that_do_not_print(odd):
+    for raw in (f"token{odd}{odd}... {SECRET}".encode(), f"token{odd}... {SECRET}".encode("latin-1", "ignore"), f"{SECRET}\n{odd}".encode()):
+        assert found("x " + b64(raw)) == {"assign"}
+        assert found(b64(b"\0" + b64(raw).encode())) == {"assign"}
+
+
+@pytest.mark.parametrize("joint", ["-", "_", "/", "+", "--", "/_"])
+def test_secrets_in_every_part_of_a_joined_run(joint):
+    for n in range(3):
+        first, last = f"some words {'x' * n}", f"id {'y' * n} {SECRET}!"
+        text = joint.join(b64(x).rstrip("=") for x in (first, last, first, last))
+        at = len(b64(first).rstrip("=")) + len(joint)
+        spans = [(s, e) for k, s, e, _ in secrets.find_secrets(text) if k == "assign"]
+        begin, end = at + (3 + n + 1) * 4 // 3, at - -(3 + n + 1 + len(SECRET)) * 4 // 3
+        assert len(spans) == 2 and spans[0][0] == begin and end <= spans[0][1] <= end + 1
+        for pack in (gzip.compress, zlib.compress, zstandard.compress):
+            parts = [b64(pack(x.encode())).rstrip("=") for x in (first, last)]
+            assert found(joint.join(parts)) == found(joint.join(parts).translate({43: "-", 47: "_"})) == {"assign"}
+            assert found(joint.join((b64(first).rstrip("="), b64(b64(last)).rstrip("="), parts[0]))) == {"assign"}
+
+
 def test_secret_bases(docs, texts):
     sample = ["token=token:abcdefghijklmnop", 'API_KEY : "AbCdEfGhIjKl"', "AKIAABCDEFGHIJKLMN AKIASHORT", "x 0123456789abcdef0 y", "ſecret=abcdefghijklmnop", None, ""]
 
