@@ -130,6 +130,17 @@ def test_near_words():
     assert fuzzy.near_word("reading", "readings") and not fuzzy.near_word("ab", "ab") and not fuzzy.near_word("stone", "water")
 
 
+def test_near_words_are_all_found(spark):
+    r = random.Random(6)
+    words = {"".join(r.choice("abcde") for _ in range(r.randint(1, 9))) for _ in range(250)} | {"recieve", "receive", "mississippi", "missisippi", "ab" * 12, "ab" * 11 + "c", "été", "étés", "aaaa", "aaaaaa"}
+    want = {(a, b) for a in words for b in words if a < b and fuzzy.near_word(a, b)}
+    df = spark.createDataFrame([(w,) for w in words], "fold string")
+    got = [tuple(x) for x in fuzzy.near_words(fuzzy.near_candidates(df)).collect()]
+    assert {("receive", "recieve"), ("missisippi", "mississippi")} < want and len(got) == len(set(got)) and set(got) == want
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").filter("a < b")
+    assert {tuple(x) for x in fuzzy.near_words(pairs).collect()} == want
+
+
 def test_the_limiter_counts_accepted_requests_only():
     assert state.admit([0, 1, 2, 60, 60.5, 61.5], deque(), 2, 60) == [True, True, False, False, True, True]
     assert state.admit([0, 60, 60.1], deque(), 1, 60) == [True, False, True]

@@ -345,10 +345,8 @@ def closest_passages(spark, sf):
 
 @query
 def near_words(spark, sf):
-    """Near spellings among the corpus words that begin alike; the prefix bounds what is compared."""
-    v = _corpus(spark, sf).vocab.select(F.col("fold").alias("a"), F.substring("fold", 1, 4).alias("p"), F.length("fold").alias("n"))
-    w = v.select(F.col("a").alias("b"), "p", F.col("n").alias("m"))
-    return fuzzy.near_words(v.join(w, "p").filter("a < b and abs(n - m) <= 3"))
+    """Near spellings among all corpus words."""
+    return fuzzy.near_words(fuzzy.near_candidates(_corpus(spark, sf).vocab))
 
 
 @query
