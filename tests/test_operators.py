@@ -108,6 +108,21 @@ def test_citations(spark):
     assert [x.found for x in extract.marked_spans(docs).collect()] == ["«two words»"]
 
 
+@pytest.mark.parametrize(
+    "span",
+    ["“two words”", "”two words“", "((two words))", "﴿two words﴾", "﴾two words﴿", "﴿﴿two words﴾﴾", "«two\nwords»", "{two\nwords}", "((two\nwords))", "﴿two\nwords﴾", '"two words"', "{" + "a " * 750 + "}", "«" + "b\n" * 750 + "»"],
+)
+def test_marked_spans_of_every_kind(spark, span):
+    text = f"😀 one {span} and {span} end"
+    got = extract.marked_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted((x.s, x.e, x.found) for x in got) == [(i, i + len(span), span) for i in (6, 11 + len(span))]
+
+
+@pytest.mark.parametrize("text", ["“two\nwords”", "﴿two\n\nwords﴾", "((one))", "{" + "a " * 751 + "}", "(two words)", "“two words", "«one two {three"])
+def test_what_is_not_marked(spark, text):
+    assert extract.marked_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 0
+
+
 def naive_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Quotation marks and brackets around at most 1500 characters of one line.
-MARKED = r'"[^"\n]{1,1500}"|«[^»\n]{1,1500}»|\{[^}\n]{1,1500}\}'
+#: Quotation marks and brackets around at most 1500 characters; quotation marks but guillemets within one line.
+#: Ornate brackets pair in either order; one typed twice counts once, and a pair spans no blank line.
+MARKED = (
+    r'"[^"\n]{1,1500}"|“[^“”\n]{1,1500}”|”[^“”\n]{1,1500}“|«[^«»]{1,1500}»|\{[^{}]{1,1500}\}|\(\([^()]{1,1500}\)\)'
+    r"|﴾(?:\s*﴾)*(?:(?!\n\n)[^﴾﴿]){1,1500}﴿(?:\s*﴿)*|﴿(?:\s*﴿)*(?:(?!\n\n)[^﴾﴿]){1,1500}﴾(?:\s*﴾)*"
+)
 #: chapter:verse or chapter.verse, with an optional end of a range.
 NUMERIC = r"[0-9]{1,3}[:.][0-9]{1,3}(?:-[0-9]{1,3})?"
 
