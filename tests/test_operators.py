@@ -161,6 +161,30 @@ def test_the_limiter_counts_accepted_requests_only():
     assert state.admit([0, 60, 60.1], deque(), 1, 60) == [True, False, True]
 
 
+def test_folds_hold_no_whole_key(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice((1, 1, 1, 2, 3, None)), None if i % 97 == 0 else 1e9 + r.randint(0, 900), r.random() < 0.6) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s double, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
+    order = sorted(rows, key=lambda x: (x[2] is None, x[2] or 0, x[0]))
+    limited, skipped = set(), set()
+    for k in (1, 2, 3, None):
+        mine = [(i, float("nan") if t is None else t, ok) for i, u, t, ok in order if u == k]
+        limited |= {(k, i, a) for (i, *_), a in zip(mine, state.admit([t for _, t, _ in mine], deque(), 4, 20))}
+        until = float("-inf")
+        for i, t, ok in mine:
+            skipped.add((k, i, t < until))
+            if not t < until:
+                until = float("-inf") if ok else t + 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for df, want in ((state.rate_limit(events, 4, 20), limited), (state.cooldown(events, "ok", 20), skipped)):
+            assert "InPandas" not in df._jdf.queryExecution().toString()
+            got = [tuple(x) for x in df.collect()]
+            assert len(got) == 600 and set(got) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_limiter_stream_equals_batch(spark, tmp_path):
     rows = [(i, i % 3, 1e9 + i * 7 % 50) for i in range(60)]
     events = spark.createDataFrame(rows, "event_id long, user_id long, s double").withColumn("ts", F.timestamp_seconds("s")).drop("s")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,18 +31,36 @@ def admit(times: list[float], recent: deque, limit: int, seconds: float) -> list
     return out
 
 
+def fold_sorted(rows: DataFrame, step, start, result: str) -> DataFrame:
+    """Rows of (key, event_id, t, ...) folded by key in order of t and event_id, to rows of (key, event_id, result).
+
+    ``step(state, t, ...)`` gives the result of a row and changes the state, which ``start()`` makes for each key.
+    Sorted batches are read one after the other, so that only the state of a key is held, not its rows.
+    """
+    key, event_id = rows.columns[:2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            out = []
+            for k, t, *more in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns) if i != 1)):
+                if state is None or k != now:
+                    now, state = k, start()
+                out.append(step(state, float("nan") if t is None else t, *more))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names)
+
+    names = [key, event_id, result]
+    line = rows.withColumns({key: F.col(key).cast("long"), event_id: F.col(event_id).cast("long")}).repartition(key)
+    return line.sortWithinPartitions(key, F.asc_nulls_last("t"), event_id).mapInArrow(run, f"{key} long, {event_id} long, {result} boolean")
+
+
 def rate_limit(events: DataFrame, limit: int = 10, seconds: int = 60, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
     """(key, event_id, accepted): the sliding-window limiter over each key's events in order.
 
     A key's decisions depend on each other, so they are one fold over its ordered times.
     """
     rows = events.select(key, event_id, F.col(ts).cast("timestamp").cast("double").alias("t"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", event_id])
-        return pd.DataFrame({key: pdf[key], event_id: pdf[event_id], "accepted": admit(pdf.t.tolist(), deque(), limit, seconds)})
-
-    return rows.groupBy(key).applyInPandas(fold, f"{key} long, {event_id} long, accepted boolean")
+    return fold_sorted(rows, lambda recent, t: admit([t], recent, limit, seconds)[0], deque, "accepted")
 
 
 def rate_limit_stream(events: DataFrame, limit: int = 10, seconds: int = 60, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", late: str = "2 minutes") -> DataFrame:
@@ -79,16 +99,13 @@ def cooldown(events: DataFrame, outcome: str, seconds: int = 60, key: str = "use
     """(key, event_id, skipped): after a failure of a call that was made, calls are skipped for a time; skipped calls have no outcome."""
     rows = events.select(key, "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), F.expr(outcome).alias("ok"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
-        until, skipped = float("-inf"), []
-        for t, ok in zip(pdf.t, pdf.ok):
-            skipped.append(t < until)
-            if not skipped[-1]:
-                until = float("-inf") if ok else t + seconds
-        return pd.DataFrame({key: pdf[key], "event_id": pdf.event_id, "skipped": skipped})
+    def step(until: list[float], t: float, ok: bool | None) -> bool:
+        skipped = t < until[0]
+        if not skipped:
+            until[0] = float("-inf") if ok else t + seconds
+        return skipped
 
-    return rows.groupBy(key).applyInPandas(fold, f"{key} long, event_id long, skipped boolean")
+    return fold_sorted(rows, step, lambda: [float("-inf")], "skipped")
 
 
 def freshness(now, fetched_at, last_failure, ttl: int = 24 * 3600, stale: int = 7 * 24 * 3600, backoff: int = 60):
