@@ -4,10 +4,11 @@ File (little-endian): magic; documents, nulls among the ids, tokens, id width as
 smallest document id; the Elias-Fano code of the document ids less that one; the Elias-Fano code of
 the documents' end offsets; the ids. An Elias-Fano code of n ascending numbers keeps the low bits of
 each number packed and the high bits as a unary bit vector: about 2 + log2(largest / n) bits a number.
-``select`` finds a boundary through a directory of one 32-bit count per 64 bits, made when opened.
+``select`` finds boundaries through a directory of one 32-bit count per 64 bits, made when opened; a reader
+holds the codes and the ids of the documents it asks for, never a table of 64-bit offsets or the whole array.
 
 Files are written below ``spark.checkpoint.dir`` in ascending order of document id: rows are dealt out
-by ranges of the id, every task writes its own file under a name of its own attempt, and the rows of
+by ranges of the id, every task writes files of about ``FILE_TOKENS`` ids under names of its own attempt, and the rows of
 the committed tasks are the manifest; files of lost attempts are never read.
 
 Chunks that start with a space are tokenised independently of what precedes them, so each task
@@ -22,7 +23,7 @@ writes no file.
 from __future__ import annotations
 
 import functools
-import itertools
+import os
 import uuid
 import zlib
 
@@ -36,11 +37,17 @@ from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import chunks
 from verbatia.llm.chunk_table import FEED, SPACE, ChunkTable, cut, join
-from verbatia.llm.work import Workspace
+from verbatia.llm.work import Workspace, give_back
 
 MAGIC = b"VBTOKEF1"
 #: Bytes of text whose chunks are joined at once, and chunks of a task's table in each generation.
 BLOCK_BYTES, TABLE_CHUNKS = 2 << 20, 300_000
+#: Ids of a file before the next one is begun; a longer document has a file of its own.
+FILE_TOKENS = 4 << 20
+#: Chunks that the library gets as one text.
+JOINED = 200
+#: Documents whose boundaries are selected at once.
+READ_DOCS = 2048
 
 
 class EliasFano:
@@ -62,29 +69,26 @@ class EliasFano:
         low = (v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
         return cls(n, bits, np.packbits(unary, bitorder="little"), np.packbits(low.astype(np.uint8).ravel(), bitorder="little"))
 
-    def select(self, i: int) -> int:
-        """The i-th number."""
-        word = int(np.searchsorted(self.before, i, "right")) - 1
-        ones = np.flatnonzero(np.unpackbits(self.high[8 * word : 8 * word + 8], bitorder="little"))
-        top = 64 * word + int(ones[i - int(self.before[word])]) - i
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at the places i."""
+        i = np.asarray(i, np.int64)
+        word = np.searchsorted(self.before, i, "right") - 1
+        bits = np.unpackbits(self.high.reshape(-1, 8)[word], axis=1, bitorder="little")
+        one = (np.cumsum(bits, axis=1, dtype=np.uint8) > (i - self.before[word].astype(np.int64))[:, None]).argmax(axis=1)
+        top = (64 * word + one - i).astype(np.uint64)
         at = i * self.low_bits
-        part = np.unpackbits(self.low[at // 8 : (at + self.low_bits + 7) // 8], bitorder="little")[at % 8 : at % 8 + self.low_bits]
-        return top << self.low_bits | sum(int(b) << j for j, b in enumerate(part))
-
-    def all(self) -> np.ndarray:
-        top = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return (top.astype(np.uint64) << np.uint64(self.low_bits)) | low
+        own = at[:, None] + np.arange(self.low_bits)
+        low = (self.low[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(np.uint64)
+        return top << np.uint64(self.low_bits) | (low << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def dump(self) -> bytes:
         return np.array([self.n, self.low_bits, len(self.high), len(self.low)], "<i8").tobytes() + self.high.tobytes() + self.low.tobytes()
 
     @classmethod
-    def load(cls, raw: memoryview, at: int) -> tuple[EliasFano, int]:
-        n, bits, high, low = np.frombuffer(raw, "<i8", 4, at).tolist()
-        at += 32
-        return cls(n, bits, np.frombuffer(raw, np.uint8, high, at), np.frombuffer(raw, np.uint8, low, at + high)), at + high + low
+    def load(cls, source) -> EliasFano:
+        """From the place of an open file."""
+        n, bits, high, low = np.frombuffer(source.read(32), "<i8").tolist()
+        return cls(n, bits, np.frombuffer(source.read(high), np.uint8), np.frombuffer(source.read(low), np.uint8))
 
 
 def dump(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -98,22 +102,31 @@ def dump(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
 
 
 class TokenFile:
-    """A written file: document ids, boundaries, ids."""
+    """A written file, open for reading: its codes; ids are read when asked for."""
 
-    def __init__(self, raw: memoryview | bytes):
-        if bytes(raw[:8]) != MAGIC:
+    def __init__(self, source):
+        self.source = source
+        if bytes(source.read(8)) != MAGIC:
             raise ValueError("not a token file")
-        self.documents, self.nulls, self.tokens, width, self.least = np.frombuffer(raw, "<i8", 5, 8).tolist()
-        self.doc_codes, at = EliasFano.load(raw, 48)
-        self.ends, at = EliasFano.load(raw, at)
-        self.ids = np.frombuffer(raw, f"<u{width}", self.tokens, at)
+        self.documents, self.nulls, self.tokens, self.width, self.least = np.frombuffer(source.read(40), "<i8").tolist()
+        self.doc_codes, self.ends = EliasFano.load(source), EliasFano.load(source)
+        self.at = source.tell()
+
+    def doc_ids(self, lo: int, hi: int) -> list[int | None]:
+        known = self.doc_codes.select(np.arange(max(0, lo - self.nulls), max(0, hi - self.nulls)))
+        return [None] * (min(hi, self.nulls) - min(lo, self.nulls)) + (known + np.array(self.least, np.int64).astype(np.uint64)).astype(np.int64).tolist()
+
+    def bounds(self, lo: int, hi: int) -> np.ndarray:
+        """Where documents lo to hi (exclusive) start, and where the last of them ends."""
+        ends = self.ends.select(np.arange(max(0, lo - 1), hi)).astype(np.int64)
+        return ends if lo else np.concatenate([[0], ends])
 
-    def doc_ids(self) -> list[int | None]:
-        known = (self.doc_codes.all() + np.array(self.least, np.int64).astype(np.uint64)).astype(np.int64)
-        return [None] * self.nulls + known.tolist()
+    def ids(self, start: int, end: int) -> np.ndarray:
+        self.source.seek(self.at + start * self.width)
+        return np.frombuffer(self.source.read((end - start) * self.width), f"<u{self.width}")
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.ids(*self.bounds(i, i + 1).tolist())
 
 
 class Tokeniser:
@@ -122,6 +135,7 @@ class Tokeniser:
     def __init__(self, path: str):
         import tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.lib = tokenizers.Tokenizer.from_file(path)
         kind = str(self.lib.pre_tokenizer)
         special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
@@ -144,11 +158,12 @@ class Tokeniser:
         """Chunks have white space at their start only; they are tokenised in one go with line feeds between."""
         got = {b"\n": np.array([self.feed], np.uint32).tobytes()}
         plain = [c for c in chunks if c != b"\n"]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = self._ids(b"\n".join(some).decode())
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for some, coded in zip(groups, self.lib.encode_batch_fast([b"\n".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.feed).tolist()
-            got.update(zip(some, (ids[a:b].tobytes() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))))
+            raw = ids.tobytes()
+            got.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))))
         return [got[c] for c in chunks]
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -184,7 +199,7 @@ def _tokeniser(path: str) -> Tokeniser:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files; returns their manifest (part, path, documents, tokens, start: tokens before the file)."""
+    """Write the files; returns their manifest (part, seq, path, documents, tokens, start: tokens before the file)."""
     root = f"{ws.root}/files"
     end = np.array([] if end_id is None else [end_id], np.uint32)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -193,27 +208,41 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, ws: Worksp
 
     def run(batches):
         encode = _tokeniser(tokenizer)
-        names, lengths, ids = [], [], []
+        part = TaskContext.get().partitionId()
+        names, lengths, ids, held, seq = [], [], [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal names, lengths, ids, held, seq
+            raw = dump(names, np.array(lengths, np.int64), np.concatenate(ids))
+            uri = f"{root}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.tok"
+            fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(path) as f:
+                f.write(raw)
+            row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [uri], "documents": [len(names)], "tokens": [sum(lengths)]})
+            names, lengths, ids, held, seq = [], [], [], 0, seq + 1
+            return row
+
         for batch in batches:
-            names += batch.column("doc_id").to_pylist()
-            for _, _, data, offsets in chunks(batch.column("text"), BLOCK_BYTES):
-                for x in encode(data, offsets):
+            known = batch.column("doc_id").to_pylist()
+            for lo, hi, data, offsets in chunks(batch.column("text"), BLOCK_BYTES):
+                for name, x in zip(known[lo:hi], encode(data, offsets)):
+                    names.append(name)
                     lengths.append(len(x) + len(end))
                     ids += (x, end)
-        if not names:
-            return
-        raw = dump(names, np.array(lengths, np.int64), np.concatenate(ids))
-        part = TaskContext.get().partitionId()
-        uri = f"{root}/{part:06d}-{uuid.uuid4().hex}.tok"
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(path) as f:
-            f.write(raw)
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [uri], "documents": [len(names)], "tokens": [sum(lengths)]})
+                    held += len(x)
+                if held >= FILE_TOKENS:
+                    yield close()
+        if names:
+            yield close()
+        encode.table.clear()
+        give_back()
 
-    files = ws.save(rows.mapInArrow(run, "part long, path string, documents long, tokens long"), "manifest")
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    files = ws.save(rows.mapInArrow(run, "part long, seq long, path string, documents long, tokens long"), "manifest")
+    # One row for each task, then the files of each task: no window holds all files.
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tasks = files.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(W.orderBy("part")).alias("base"))
+    return files.join(tasks, "part").withColumn("start", F.col("base") + before(W.partitionBy("part").orderBy("seq"))).drop("base")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -223,21 +252,22 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 fs, place = pyarrow.fs.FileSystem.from_uri(path)
-                with fs.open_input_stream(place) as f:
-                    file = TokenFile(f.read())
-                ends = file.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                names = file.doc_ids()
-                lo = 0
-                while lo < len(names):
-                    hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), "right")))
-                    ids = [file.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[lo:hi], ends[lo:hi])]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.int64()), pa.array(starts[lo:hi] + start), pa.array(ids, pa.binary())], ["doc_id", "start", "ids_le"])
-                    lo = hi
+                with fs.open_input_file(place) as source:
+                    file = TokenFile(source)
+                    lo = 0
+                    while lo < file.documents:
+                        bounds = file.bounds(lo, min(file.documents, lo + READ_DOCS))
+                        hi = lo + max(1, int(np.searchsorted(bounds, bounds[0] + (1 << 20), "right")) - 1)
+                        bounds = bounds[: hi - lo + 1]
+                        raw = file.ids(int(bounds[0]), int(bounds[-1])).astype("<u4").tobytes()
+                        at = (4 * (bounds - bounds[0])).tolist()
+                        ids = [raw[a:b] for a, b in zip(at, at[1:])]
+                        yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids(lo, hi), pa.int64()), pa.array(bounds[:-1] + start), pa.array(ids, pa.binary())], ["doc_id", "start", "ids_le"])
+                        lo = hi
 
     spark = manifest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(n, "path").mapInArrow(run, "doc_id long, start long, ids_le binary")
+    return manifest.select("path", "start").repartition(n, "path").mapInArrow(run, "doc_id long, start long, ids_le binary")
 
 
 def token_digest(read: DataFrame) -> DataFrame:

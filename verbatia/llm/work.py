@@ -37,7 +37,11 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = "file:///tmp/checkpoints"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,9 +57,12 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over a narrow projection; ``fn`` gets and yields record batches."""
-    return df.mapInArrow(fn, schema)
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def restrict(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", bound: int = BROADCAST_IDS) -> DataFrame:
@@ -70,8 +77,8 @@ def restrict(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_sem
 def components(edges: DataFrame, ws: Workspace, tag: str) -> DataFrame:
     """Connected components of undirected ``(a, b)`` longs: rows ``(node, comp)``, comp the least node.
 
-    Alternates large-star and small-star steps until the edge set no longer changes; every step is
-    a partial aggregation and a join on one end, which adaptive execution may split.
+    Alternates large-star and small-star steps until the edge set no longer changes. Every step is a partial aggregation
+    and a join on one end; what is joined is written before, so that adaptive execution can split the rows of a hub.
     """
     now = ws.save(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -81,16 +88,16 @@ def components(edges: DataFrame, ws: Workspace, tag: str) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = ws.save(low.select("u", F.least("u", "m").alias("m")), f"{tag}-low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = ws.save(large.filter("u <> v").distinct(), f"{tag}-large")
+        low = ws.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
         step += 1
         new = ws.save(small, f"{tag}-{step}")
         got = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        ws.drop(f"{tag}-{step - 1}")
+        ws.drop(f"{tag}-{step - 1}", f"{tag}-large", f"{tag}-low")
         now = new
         if tuple(got) == mark:
             break
