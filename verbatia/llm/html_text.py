@@ -34,18 +34,18 @@ MAIN = 1
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Element names of the markup language by their role here.
-RAW = frozenset("script style noscript template textarea title svg iframe object select math head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select head".split())
 RAW_TEXT = frozenset("script style noscript textarea title iframe".split())
 END_TAG = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])[^>]*>?", re.I | re.A) for name in RAW_TEXT}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow mtext msup msub msubsup mfrac msqrt mroot mover munder munderover semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 LIST_ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters inside links) of each leaf block; the path has the ancestors' features."""
-    out, stack, parts, links, at, raw = [], [], [], 0, 0, ""
+    out, stack, parts, links, at, raw, nested = [], [], [], 0, 0, "", 0
     path: tuple[str, ...] = ()
     linked = 0
 
@@ -84,14 +84,15 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             at = end.end() if end else len(page)
             continue
         if raw:
-            if closing and name == raw:
-                raw = ""
+            if name == raw and (closing or not m.group(3).endswith("/")):
+                nested += -1 if closing else 1
+                raw = raw if nested else ""
             continue
         if name in RAW:
             if not closing and not m.group(3).endswith("/"):
                 if name == "head":
                     continue
-                raw = name
+                raw, nested = name, 1
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
