@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import math
 import random
 import re
@@ -60,19 +61,24 @@ def test_near_duplicates(docs, texts, k):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
 
 
-def test_sketches_never_differ_more_than_whole_sets(spark):
+def test_sketches_estimate_similarity(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
-    rows = []
-    for i in range(30):
+    rows, real = [], {}
+    for i in range(60):
         base = r.sample(words, r.choice((20, 200, 900)))
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: len(base) * 9 // 10] + r.sample(words, len(base) // 10)))]
+        other = base[: len(base) * r.choice((17, 19, 20)) // 20]
+        other = other + r.sample(words, len(base) - len(other))
+        real[i] = len({*base} & {*other}) / len({*base} | {*other})
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
-    got = {x.doc_id: x for x in near_dedup.signatures(docs, 1, 8, 2).collect()}
-    for i in range(30):
-        a, b = got[2 * i], got[2 * i + 1]
-        differ = sum(((getattr(a, s) ^ getattr(b, s)) & (1 << 64) - 1).bit_count() for s in near_dedup._SKETCH)
-        assert a.level == 0 and differ <= len(set(rows[2 * i][1].split()) ^ set(rows[2 * i + 1][1].split()))
+    got = near_dedup.signatures(docs, 1, near_dedup.BANDS, near_dedup.ROWS)
+    pairs = got.alias("a").join(got.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1).filter("a.doc_id % 2 = 0")
+    samples = near_dedup.BANDS * near_dedup.ROWS
+    said = {x.doc_id // 2: (x.s, x.alike) for x in pairs.select("a.doc_id", near_dedup.estimate(samples).alias("s"), near_dedup.alike(80, samples).alias("alike")).collect()}
+    assert all(abs(said[i][0] - real[i]) < 0.16 for i in real)
+    assert sum(abs(said[i][0] - real[i]) for i in real) / len(real) < 0.03
+    assert all(said[i][1] for i in real if real[i] >= 0.8)
 
 
 def test_components(spark):
@@ -142,12 +148,25 @@ def test_pieces_on_odd_text():
     assert all((ids.tolist(), said) == (sp.encode(t), sp.decode(sp.encode(t))) for t, (ids, said) in zip(cases, got))
 
 
-def test_token_files_round_trip(spark, docs, texts):
+@pytest.mark.parametrize("most", [4 << 20, 500])
+def test_token_files_round_trip(spark, docs, texts, monkeypatch, most):
+    import pyarrow.fs
     import tokenizers
 
+    monkeypatch.setattr(token_files, "FILE_TOKENS", most)
+    monkeypatch.setattr(token_files, "READ_DOCS", 7)
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 1000)
+
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = tokenizers.Tokenizer.from_file(path)
     files = token_files.write_tokens(docs, path, 2, Workspace(spark, "tok"))
+    rows = files.orderBy("start").collect()
+    assert most > 500 or len(rows) > len({r.part for r in rows})
+    want = sorted((d, lib.encode(t or "", add_special_tokens=False).ids + [2]) for d, t in texts)
+    fs, place = pyarrow.fs.FileSystem.from_uri(rows[0].path)
+    with fs.open_input_file(place) as source:
+        one = token_files.TokenFile(source)
+        assert [(one.doc_ids(i, i + 1)[0], one.document(i).tolist()) for i in reversed(range(one.documents))] == want[: one.documents][::-1]
     got = sorted((r.start, r.doc_id, np.frombuffer(r.ids_le, "<u4").tolist()) for r in token_files.read_tokens(files).collect())
     want = sorted((d, lib.encode(t or "", add_special_tokens=False).ids + [2]) for d, t in texts)
     assert sorted(x[1:] for x in got) == want and [x[1] for x in got] == sorted(d for d, _ in texts)
@@ -170,8 +189,10 @@ def test_tokeniser_on_odd_text():
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 1000])
 def test_elias_fano(n):
     v = np.sort(np.random.default_rng(n).integers(0, 10**9, n))
-    code, _ = token_files.EliasFano.load(token_files.EliasFano.of(v).dump(), 0)
-    assert code.all().tolist() == v.tolist() == [code.select(i) for i in range(n)]
+    code = token_files.EliasFano.load(io.BytesIO(token_files.EliasFano.of(v).dump()))
+    places = np.random.default_rng(n).permutation(n)
+    assert code.select(places).tolist() == v[places].tolist()
+    assert not n or len(code.high) + len(code.low) <= n * (3 + math.log2(max(2, int(v[-1]) / n))) / 8 + 16
 
 
 @pytest.mark.parametrize("block", [8 << 20, 300])

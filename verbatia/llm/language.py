@@ -142,4 +142,5 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield predict(texts)
         give_back()
 
-    return docs.withColumn(out, F.pandas_udf(each, "lang string, score double")(F.col(text_col)))
+    # Declared non-deterministic, or a filter on the result would evaluate it a second time below the projection.
+    return docs.withColumn(out, F.pandas_udf(each, "lang string, score double").asNondeterministic()(F.col(text_col)))
