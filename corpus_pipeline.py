@@ -5,7 +5,8 @@ it. All but the last return the columns of ``documents``. Rows that a stage remo
 text, so rows that repeat an id are judged on their own text.
 
 Cases: rows with a null text have no letter and go in the first stage. Rows with a null id are never
-taken for near copies. Of rows that are equal in id and text one stays. Extra columns pass through to the last stage.
+taken for near copies. Of rows that are equal in id and text one stays. Extra columns, whatever their names,
+pass through unchanged up to the last stage, which returns its own columns only. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from verbatia.llm.language import UNKNOWN, identify, learn_languages
 from verbatia.llm.near_dedup import near_duplicates
 from verbatia.llm.pieces import encode_pieces
 from verbatia.llm.secrets import redact_secrets
-from verbatia.llm.work import Workspace, restrict
+from verbatia.llm.work import Workspace, restrict, unused
 
 MODEL = "piece_bpe_32k.model"
 
@@ -26,14 +27,16 @@ MODEL = "piece_bpe_32k.model"
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """Rows of docs whose (doc_id, text) is not among the given (doc_id, text_key)."""
     keys = Workspace(docs.sparkSession, name).save(gone.select("doc_id", "text_key").distinct(), "gone")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    return restrict(keyed, keys, ["doc_id", "text_key"], "left_anti").select(docs.columns)
+    key = unused(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return restrict(keyed, keys.withColumnRenamed("text_key", key), ["doc_id", key], "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of no language go; the others get the language found."""
-    found = identify(docs, learn_languages(docs), out="found")
-    return found.filter(F.col("found.lang") != UNKNOWN).withColumn("lang", F.col("found.lang")).select(docs.columns)
+    name = unused(docs, "found")
+    found = identify(docs, learn_languages(docs), out=name)
+    return found.filter(F.col(f"{name}.lang") != UNKNOWN).withColumn("lang", F.col(f"{name}.lang")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +46,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = Workspace(spark, "repeated_rows").save(found.filter("doc_id is not null").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "keys")
     if keys.isEmpty():
         return left
-    keyed = left.withColumn("text_key", F.xxhash64("text"))
-    once = restrict(keyed, keys, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    return restrict(keyed, keys, ["doc_id", "text_key"], "left_anti").unionByName(once).select(docs.columns)
+    key = unused(docs, "text_key")
+    keyed, keys = left.withColumn(key, F.xxhash64("text")), keys.withColumnRenamed("text_key", key)
+    once = restrict(keyed, keys, ["doc_id", key]).dropDuplicates(["doc_id", key])
+    return restrict(keyed, keys, ["doc_id", key], "left_anti").unionByName(once).select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
