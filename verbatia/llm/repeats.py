@@ -3,15 +3,15 @@
 Every string of ``length`` bytes (a window) belongs to the suffix that starts at its anchor, the smallest
 q-gram within it in a random order; equal windows have their anchors at equal places, so suffixes
 elsewhere need no sorting. Initial buckets hold the suffixes that share their q-gram. Buckets of one suffix
-end there: none of their windows repeats. The others are refined recursively: the identifier of a longer string is made of those at
-later offsets (constant time from one prefix sum), and the runs of windows of a bucket are sorted on it.
-A run whose bytes all occur again is settled as repeated; the runs that remain are cut at equal
-distances from their anchor and refined with the identifiers of the bytes that those windows share:
-depth q, then length - step + 1, then length, where a bucket is one window. Settled runs are used again: one of each stays beside the
-open runs of its bucket.
+end there: none of their windows repeats. The others are refined by depth, each at most twice the one before
+(64, 128, 188, 200 bytes): the identifier of a string is made of the identifiers, one depth before, of its start and of a later
+offset, and the rows of a bucket are grouped on it. What a depth has settled is used by the next one: a run of windows whose
+bytes all occur again is repeated and only one of its kind stays beside the open runs of its bucket, runs alone in
+a bucket are unrepeated, and the rest are cut at equal distances from their anchor into runs of windows
+that share the next depth's bytes. At the last depth a run is one window.
 
-Buckets are counted by partial aggregation and joined back, so that none must fit in a task. Equal texts
-share one key (a 64-bit hash), and strings of a bucket one 64-bit identifier; both are taken as exact.
+Buckets are counted by partial aggregation, written and joined back, so that none must fit in a task; the plan is the
+same at every size. Equal texts share one key (a 64-bit hash), and strings of a bucket one 64-bit identifier; both are taken as exact.
 
 Cases: a null or empty text, or one shorter than ``length``, loses nothing. Repeated rows repeat all
 their windows. Texts of any length pass whole, in overlapping segments. Only the named columns are
@@ -45,6 +45,22 @@ def _segments(column: pa.Array, length: int):
             yield lo, part, np.array([0, len(part)]), at
 
 
+def depths(length: int, q: int, step: int) -> list[int]:
+    """From q, each at most twice the one before, to ``length``; the last but one has ``step`` windows in a run."""
+    out = [q]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length - step + 1 if out[-1] < length - step + 1 else length))
+    return out
+
+
+def _identifier(sums: np.ndarray, at: np.ndarray, depth: list[int]) -> np.ndarray:
+    """Identifiers of the strings at the last of the depths: of two identifiers of the depth before, the second at a later offset."""
+    if len(depth) == 1:
+        return mix(span_hash(sums, at, at + depth[0]))
+    here = _identifier(sums, at, depth[:-1])
+    return mix(here * U(0xA24BAED4963EE407) + _identifier(sums, at + depth[-1] - depth[-2], depth[:-1]))
+
+
 def _owned(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
     """Runs of windows with one anchor: (row, first and last window, anchor, gram, identifier of all bytes).
 
@@ -56,7 +72,7 @@ def _owned(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),) * 2
     sums = prefix_sums(BYTE_VALUES[data])
     at = np.arange(n - q + 1)
-    gram = mix(span_hash(sums, at, at + q))
+    gram = _identifier(sums, at, [q])
     low = (gram & ~_PLACE) | at.astype(U)
     width = 1
     while 2 * width <= w:
@@ -101,9 +117,10 @@ def anchored(docs: DataFrame, length: int, q: int) -> DataFrame:
     return docs.select("text_key", "text").mapInArrow(run, "text_key long, place long, bucket long, whole long")
 
 
-def deepened(texts: DataFrame, runs: DataFrame, length: int, step: int) -> DataFrame:
-    """Runs cut into runs of up to ``step`` windows at equal distances from their anchor; a run's bucket is the
-    identifier of the ``length - step + 1`` bytes that all windows at those distances share."""
+def deepened(texts: DataFrame, runs: DataFrame, length: int, depth: list[int]) -> DataFrame:
+    """Runs cut into runs of windows that share the bytes of the last depth, at equal distances from their
+    anchor; a run's bucket is the identifier of those bytes."""
+    step = length - depth[-1] + 1
 
     def run(batches):
         for batch in batches:
@@ -122,47 +139,50 @@ def deepened(texts: DataFrame, runs: DataFrame, length: int, step: int) -> DataF
                 anchor = first[at] + rel[at]
                 a, b = np.maximum(first[at], anchor - step * g - step + 1), np.minimum(first[at] + span[at], anchor - step * g)
                 here = offsets[row[at]]
-                core = here + anchor - step * g
-                bucket = mix(span_hash(sums, core, core + length - step + 1) + mix((g + 1).astype(U)))
+                bucket = mix(_identifier(sums, here + anchor - step * g, depth) + mix((g + 1).astype(U)))
                 whole = mix(span_hash(sums, here + a, here + b + length) + mix(((anchor - a) << 32 | (b - a) << 12 | g).astype(U)))
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(lo + row[at])), pa.array(_place(a, b, anchor)), pa.array(bucket.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(is_open[at])],
                     ["text_key", "place", "bucket", "whole", "open"],
                 )
 
-    per_text = runs.groupBy("text_key").agg(F.collect_list(F.struct("place", "open")).alias("r"))
+    once = runs.groupBy("text_key", "place").agg(F.max("open").alias("open"))
+    per_text = once.groupBy("text_key").agg(F.collect_list(F.struct("place", "open")).alias("r"))
     rows = texts.join(per_text, "text_key").select("text_key", "text", F.col("r.place").alias("places"), F.col("r.open").alias("opens"))
     return rows.mapInArrow(run, "text_key long, place long, bucket long, whole long, open boolean")
 
 
-def _settle(live: DataFrame, ws: Workspace, tag: str) -> tuple[DataFrame, DataFrame]:
-    """Runs found repeated whole, and what the next depth needs: open runs and one of each repeated run beside them."""
-    live = ws.save(live, f"{tag}-live")
-    # Written before it is joined, so that the rows of one string may be split over tasks.
-    wholes = ws.save(live.groupBy("whole").agg(F.count("*").alias("c"), F.min(F.struct("text_key", "place")).alias("one")).filter("c > 1"), f"{tag}-wholes")
-    seen = ws.save(restrict(live, wholes, ["whole"], "left"), f"{tag}-seen")
-    done = seen.filter("open and c is not null").select("text_key", "place")
-    still = seen.filter("mixed and open and c is null").select("text_key", "place", "open")
+def _settle(runs: DataFrame, ws: Workspace, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Runs found repeated whole, and what the next depth needs: open runs and one of each repeated run beside them.
+
+    Counts are written before they are joined, so that the rows of one bucket or string may be split over tasks.
+    """
+    shared = runs.groupBy("bucket").agg(F.count("*").alias("m"), (F.min("whole") != F.max("whole")).alias("mixed"))
+    shared = ws.save(shared.filter("m > 1").select("bucket", "mixed"), f"{tag}-shared")
+    live = ws.save(runs.join(shared, "bucket").drop("bucket"), f"{tag}-live")
+    wholes = live.groupBy("whole").agg(F.count("*").alias("c"), F.min(F.struct("text_key", "place")).alias("one"))
+    wholes = ws.save(wholes.filter("c > 1").select("whole", "one"), f"{tag}-wholes")
+    repeated = F.col("one").isNotNull()
     first = (F.col("one.text_key") == F.col("text_key")) & (F.col("one.place") == F.col("place"))
-    beside = seen.filter(F.col("mixed") & F.coalesce(first, ~F.col("open"))).select("text_key", "place", F.lit(False).alias("open"))
-    return done, ws.save(still.union(beside.distinct()), f"{tag}-next")
+    stays = F.col("mixed") & F.when(F.col("open") & ~repeated, True).otherwise(F.coalesce(first, ~F.col("open")) | ~F.col("open"))
+    seen = live.join(wholes, "whole", "left").select("text_key", "place", (F.col("open") & repeated).alias("done"), stays.alias("stays"), (F.col("open") & ~repeated).alias("open"))
+    seen = ws.save(seen.filter("done or stays"), f"{tag}-seen")
+    ws.drop(f"{tag}-shared", f"{tag}-live", f"{tag}-wholes")
+    return seen.filter("done").select("text_key", "place"), seen.filter("stays").select("text_key", "place", "open")
 
 
 def repeated_spans(docs: DataFrame, ws: Workspace, length: int = 200, q: int = GRAM, step: int = 13) -> DataFrame:
     """Rows (text_key, spans): maximal ranges of bytes covered by repeated strings; docs has text_key and text."""
-    runs = anchored(docs, length, q)
-    some = lambda rows: rows.groupBy("bucket").agg(F.count("*").alias("m"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("m > 1").drop("m")
-    shared = ws.save(some(runs), "shared")
-    live = restrict(runs, shared, ["bucket"], "inner").withColumn("open", F.lit(True))
-    done, todo = _settle(live, ws, "depth0")
-    found = [done]
+    depth = depths(length, q, step)
+    every, todo = _settle(anchored(docs, length, q).withColumn("open", F.lit(True)), ws, "depth0")
     wanted = ws.save(todo.select("text_key").distinct(), "wanted")
     texts = ws.save(restrict(docs.select("text_key", "text"), wanted, ["text_key"]).groupBy("text_key").agg(F.first("text").alias("text")), "texts")
-    for i, width in enumerate((step, 1)):
-        runs = ws.save(deepened(texts, todo, length, width), f"runs{i}")
-        done, todo = _settle(restrict(runs, ws.save(some(runs), f"shared{i}"), ["bucket"], "inner"), ws, f"depth{i + 1}")
-        found.append(done)
-    every = found[0].union(found[1]).union(found[2])
+    for i in range(1, len(depth)):
+        runs = ws.save(deepened(texts, todo, length, depth[: i + 1]), f"runs{i}")
+        done, todo = _settle(runs, ws, f"depth{i}")
+        ws.drop(f"runs{i}")
+        every = every.union(done)
+    ws.drop("texts", "wanted")
     begin, span = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095)
     ranges = every.select("text_key", begin.alias("s"), (begin + span + length).alias("e")).distinct()
 
