@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import gzip
 import hashlib
 import io
@@ -226,52 +227,72 @@ def test_decontamination(spark, docs, texts, monkeypatch, block):
     assert none == 0
 
 
-def test_katz(docs, texts):
+@pytest.mark.parametrize(("order", "hot"), [(1, 256), (2, 256), (3, 256), (3, 4000), (4, 256)])
+def test_katz(docs, texts, monkeypatch, order, hot):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "PACK_BYTES", 40_000)
     rows = [(d, spaced(t) + ["</s>"]) for d, t in texts]
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
-    uni, bi, head = Counter(), Counter(), Counter()
-    for d, w in rows:
-        if not held(d):
-            uni.update(w)
-            for x, y in zip(["<s>", *w], w):
-                bi[x, y] += 1
-                head[x] += 1
-    n, kinds = sum(uni.values()), len(uni)
+    grams = lambda w, k: list(zip(*[(["<s>"] * (k - 1) + w)[i:] for i in range(k)]))
+    counts = {k: Counter(g for d, w in rows if not held(d) for g in grams(w, k)) for k in range(1, order + 1)}
+    n, kinds = sum(counts[1].values()), len(counts[1])
 
     def discount(counts):
         of = Counter(counts.values())
         tail = 6 * of[6] / of[1]
         out = {}
         for c in range(1, 6):
-            v = ((c + 1) * of[c + 1] / (c * of[c]) - tail) / (1 - tail) if of[c] else 0
+            v = ((c + 1) * of[c + 1] / (c * of[c]) - tail) / (1 - tail) if of[c] and tail != 1 else 0
             out[c] = v if 0 < v < 1 else (c - 0.5) / c
         return out
 
-    d1, d2 = discount(uni), discount(bi)
-    p1 = {w: d1.get(c, 1) * c / n for w, c in uni.items()}
-    unseen = 1 - sum(p1.values())
+    d = {k: discount(c) for k, c in counts.items()}
     after = defaultdict(list)
-    for (x, y), c in bi.items():
-        after[x].append((y, c))
-    back = {}
-    for x, ys in after.items():
-        whole = all(c > 5 for _, c in ys)
-        left = 1 / (head[x] + 1) if whole else 1 - sum(d2.get(c, 1) * c for _, c in ys) / head[x]
-        back[x] = left / (1 - sum(p1[y] for y, _ in ys)), head[x] / (head[x] + 1) if whole else 1
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[g[:-1]].append((g[-1], c))
+    unseen = 1 - sum(d[1].get(c, 1) * c / n for c in counts[1].values())
+
+    @functools.cache
+    def back(h):
+        """Tokens, share kept and backoff weight of a context."""
+        k, tokens = len(h) + 1, sum(c for _, c in after[h])
+        whole = all(c > 5 for _, c in after[h])
+        left = 1 / (tokens + 1) if whole else 1 - sum(d[k].get(c, 1) * c for _, c in after[h]) / tokens
+        return tokens, tokens / (tokens + 1) if whole else 1, left / (1 - sum(p(h[1:], w) for w, _ in after[h]))
+
+    @functools.cache
+    def p(h, w):
+        if not h:
+            c = counts[1][w,]
+            return d[1].get(c, 1) * c / n if c else unseen
+        if h not in after:
+            return p(h[1:], w)
+        tokens, kept, weight = back(h)
+        c = counts[len(h) + 1][h + (w,)]
+        return kept * d[len(h) + 1].get(c, 1) * c / tokens if c else weight * p(h[1:], w)
+
+    # Every distribution sums to one: all known words and the unseen ones together.
+    for h in random.Random(3).sample(sorted(after), min(40, len(after))):
+        assert sum(p(h, w) for w, in counts[1]) + p(h, None) == pytest.approx(1, rel=1e-9)
     want = {}
-    for d, w in rows:
-        score = 0.0
-        for x, y in zip(["<s>", *w], w):
-            c = bi[x, y]
-            score += math.log10(back[x][1] * d2.get(c, 1) * c / head[x] if c else (back[x][0] if x in back else 1) * p1.get(y, unseen))
-        want[d] = held(d), len(w), sum(y in uni for y in w), n, sum(math.log10((uni[y] + 1) / (n + kinds + 1)) for y in w), score
-    got = katz.score_documents(docs, "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2").collect()
+    for i, w in rows:
+        score = sum(math.log10(p(g[:-1], g[-1])) for g in grams(w, order))
+        want[i] = held(i), len(w), sum((y,) in counts[1] for y in w), n, sum(math.log10((counts[1][y,] + 1) / (n + kinds + 1)) for y in w), score
+    got = katz.score_documents(docs, "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2", order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:5] == want[r.doc_id][:4]
         assert tuple(r)[5:] == pytest.approx(want[r.doc_id][4:], rel=1e-9)
 
 
+def test_counts_of_many_bits_survive_packing():
+    x = np.array([0, 3, 2**32 + 5, 2**62], np.int64)
+    assert katz._load(katz._dump(x)).tolist() == katz._load(katz._dump(x, True)).tolist() == x.tolist()
+    assert katz._load(katz._dump(np.array([0.1, -2.5])), np.float64).tolist() == [0.1, -2.5]
+    assert len(katz._load(katz._dump(np.zeros(0, np.int64)))) == 0
+
+
 def test_katz_without_training_documents(docs):
     rows = katz.score_documents(docs.limit(5), "true").collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score == 0 for r in rows)

@@ -1,23 +1,25 @@
-"""Katz backoff bigram model over a whole corpus, and the score of every document.
+"""Katz backoff model of any order over a whole corpus, and the score of every document.
 
-Tokens are lower-cased (A-Z) words without ASCII white space, then one end per document. With c, the
-training count, d, the Good-Turing discount of counts up to ``DISCOUNTED``, N, all training tokens:
+Tokens are lower-cased (A-Z) words without ASCII white space, then one end per document; before the first stand starts. With c, the
+training count, d, the Good-Turing discounts of an order for counts up to ``DISCOUNTED``, N, all training tokens, h, a
+context and h', the context without its first word:
 
     p(w)     = d[c(w)] c(w) / N;  the rest of the mass belongs to unseen words together
-    p(w | v) = d[c(v w)] c(v w) / c(v)           if c(v w) > 0
-             = a(v) p(w)                         otherwise, a(v) = (1 - sum of the above) / (1 - sum of p(w) of the seen w)
+    p(w | h) = d[c(h w)] c(h w) / c(h)           if c(h w) > 0
+             = a(h) p(w | h')                    otherwise, a(h) = (1 - sum of the above) / (1 - sum of p(w | h') of the seen w)
 
-so that every distribution sums to one. The context of a first word is the start of a document; an unseen context
-gives p(w). A context (or the unigrams) without a discounted count keeps c / (c + 1) of its mass.
-Discounts that the counts of counts do not give between 0 and 1 become (c - 1/2) / c.
+so that every distribution sums to one; an unseen context gives p(w | h'). A context (or the unigrams) without
+a discounted count keeps c / (c + 1) of its mass. Discounts that the counts of counts do not give between 0 and 1 become
+(c - 1/2) / c.
 
 Documents are held in packs of about ``PACK_BYTES`` of text, stored bucketed by pack. Counts live in
-tables partitioned by hash: every pack sends its distinct words (then word pairs) with their training
+tables partitioned by hash: order by order, every pack sends its distinct n-grams with their training
 counts to their partitions, each partition adds them up, keeps the totals, and returns to every pack the
-totals of what it sent. A pair's partition follows from its first word; the few words (at most ``HOT``)
-with more than N / HOT tokens spread theirs over several partitions by the second word. A task holds
-one pack or one partition, both bounded; the driver sees counts of counts and the hot contexts' sums.
-Words are identified by 64-bit hashes, second words of a context by 48 bits of theirs.
+totals of what it sent, with the sums of a(h) for contexts that need them. The partitions of words number them, so that longer n-grams
+are exact tuples of numbers. An n-gram's partition follows from its context; the few contexts (at most ``HOT`` of
+an order) with more than N / HOT tokens spread theirs over several partitions by the last word. A task holds
+one pack or one partition, both bounded, and a row holds at least one n-gram, so rows never outnumber tokens; the driver sees
+one row of counts of counts an order and the hot contexts' sums. A word is identified by 64 bits of hash.
 
 Cases: a null or empty text has the end only. Without training documents every score is 0. Repeated rows count each
 time. Null ids are not held out. Texts of any length pass whole. Only the named columns are read.
@@ -35,305 +37,381 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import SPACED, U, Words, chunks, mix
-from verbatia.llm.work import Workspace
+from verbatia.llm.work import Workspace, give_back
 
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 DISCOUNTED = 5
 HOT = 256
-PART_BYTES = 12 << 20
-END, START = mix(np.array([1, 2], U) * U(0x9FB21C651E98DF25))
-_CLASSES = [f"m{c}" for c in range(1, DISCOUNTED + 1)]
+PART_BYTES = 8 << 20
+END = mix(np.array([1], U) * U(0x9FB21C651E98DF25))[0]
 
 
-def _dump(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+def _dump(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers (by their differences if ascending) or doubles, byte by byte of equal weight, compressed."""
+    x = np.ascontiguousarray(x)
+    x = x.view(U) if x.dtype == np.float64 else x.astype(U)
+    if ascending and len(x):
+        x = np.diff(x, prepend=U(0))
+    return zstandard.compress(bytes([ascending]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _load(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
+def _load(raw: bytes, kind=np.int64) -> np.ndarray:
+    raw = zstandard.decompress(raw)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(8, -1).T).view(U).ravel()
+    return (np.cumsum(x, dtype=U) if raw[0] else x).view(kind)
 
 
-def discounts(n: dict[int, float]) -> np.ndarray:
-    """Good-Turing discounts of counts 0 to DISCOUNTED + 1 from the numbers of types with each count; the last is 1."""
+def _loads(rows, kind=np.int64) -> np.ndarray:
+    return np.concatenate([_load(x, kind) for x in rows])
+
+
+def discounts(n: list[float]) -> np.ndarray:
+    """Good-Turing discounts of counts 0 to DISCOUNTED + 1 from the numbers of types with counts 1 to DISCOUNTED + 1; the last is 1."""
+    n = [0, *n]
     d = np.ones(DISCOUNTED + 2)
-    tail = (DISCOUNTED + 1) * n.get(DISCOUNTED + 1, 0) / n[1] if n.get(1) else 1.0
+    tail = (DISCOUNTED + 1) * n[DISCOUNTED + 1] / n[1] if n[1] else 1.0
     for c in range(1, DISCOUNTED + 1):
-        ratio = (c + 1) * n.get(c + 1, 0) / (c * n[c]) if n.get(c) else 0.0
+        ratio = (c + 1) * n[c + 1] / (c * n[c]) if n[c] else 0.0
         value = (ratio - tail) / (1 - tail) if tail != 1 else 0.0
         d[c] = value if 0 < value < 1 else (c - 0.5) / c
     return d
 
 
+_PACK = "pack long, size long, doc_id array<long>, held_out array<boolean>, begin binary, at binary, words binary, counts binary"
+
+
 def _packs(docs: DataFrame, held: str) -> DataFrame:
-    """Rows (pack, size, doc_id, held_out, ends, text): documents' ids, flags, ends, and all their bytes, compressed."""
+    """Packs of documents: ids, flags, the first token of each, the tokens as places among the distinct words, these words' hashes and training counts."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
+        names, flags, count, hashes, size = [], [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal seq, names, flags, count, hashes, size
+            each, words = np.concatenate(count), np.concatenate(hashes)
+            begin = np.concatenate([[0], np.cumsum(each + 1)])
+            token = np.full(begin[-1], END, U)
+            token[np.arange(len(words)) + np.repeat(np.arange(len(each)), each)] = words
+            known, at = np.unique(token, return_inverse=True)
+            train = np.repeat(~np.array(flags, bool), each + 1)
+            row = _row(_SCHEMAS["pack"], pack=part << 24 | seq, size=size, doc_id=names, held_out=flags, begin=_dump(begin, True), at=_dump(at), words=_dump(known, True), counts=_dump(np.bincount(at[train], minlength=len(known))))
+            names, flags, count, hashes, size, seq = [], [], [], [], 0, seq + 1
+            return row
+
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column("text"), PACK_BYTES):
-                cols = {
-                    "pack": [part << 24 | seq],
-                    "size": [len(data)],
-                    "doc_id": [batch.column("doc_id").slice(lo, hi - lo).to_pylist()],
-                    "held_out": [batch.column("held_out").slice(lo, hi - lo).to_pylist()],
-                    "ends": [_dump(offsets)],
-                    "text": [zstandard.compress(data.tobytes(), 3)],
-                }
-                yield pa.RecordBatch.from_pydict(cols, pa.schema([("pack", pa.int64()), ("size", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("ends", pa.binary()), ("text", pa.binary())]))
-                seq += 1
+            ids, held_out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+            for lo, hi, data, offsets in chunks(batch.column("text")):
+                w = Words(data, offsets, SPACED)
+                names += ids[lo:hi]
+                flags += held_out[lo:hi]
+                count.append(w.count)
+                hashes.append(w.hash)
+                size += len(data)
+                if size >= PACK_BYTES:
+                    yield close()
+        if names:
+            yield close()
+        give_back()
 
-    return docs.select("doc_id", "text", F.expr(held).alias("held_out")).mapInArrow(run, "pack long, size long, doc_id array<long>, held_out array<boolean>, ends binary, text binary")
+    return docs.select("doc_id", "text", F.expr(held).alias("held_out")).mapInArrow(run, _PACK)
 
 
-class Pack:
-    """The tokens of a pack as indices into its distinct words, and its distinct word pairs."""
-
-    def __init__(self, text: bytes, ends: bytes, held_out: list[bool]):
-        offsets = _load(ends, np.int64)
-        raw = zstandard.decompress(text)
-        self.docs = len(offsets) - 1
-        count, hashes, lo = [np.zeros(0, np.int64)], [np.zeros(0, U)], 0
-        while lo < self.docs:  # about a megabyte at a time
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
-            w = Words(np.frombuffer(raw, np.uint8)[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACED)
-            count.append(w.count), hashes.append(w.hash)
-            lo = hi
-        count, hashes = np.concatenate(count), np.concatenate(hashes)
-        #: Each document's tokens: its words, then the end.
-        self.begin = np.concatenate([[0], np.cumsum(count + 1)])
-        token = np.full(self.begin[-1], END, U)
-        token[np.arange(len(hashes)) + np.repeat(np.arange(self.docs), count)] = hashes
-        self.train = np.repeat(~np.array(held_out, bool), count + 1)
-        self.words, self.at = np.unique(token, return_inverse=True)
-        self.counts = np.bincount(self.at[self.train], minlength=len(self.words))
-
-    def pairs(self) -> None:
-        """Distinct (context, word); the context after the last word's index is the start."""
-        before = np.empty_like(self.at)
-        before[1:] = self.at[:-1]
-        before[self.begin[:-1]] = len(self.words)
-        pair, self.pair_at = np.unique(before << 32 | self.at, return_inverse=True)
-        self.context, self.word = pair >> 32, pair & 0xFFFFFFFF
-        self.pair_counts = np.bincount(self.pair_at[self.train], minlength=len(pair))
-        self.contexts = np.append(self.words, START)
-
-    def bucket_pairs(self, seen: np.ndarray, total: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the pairs by partition, the partitions' ends, and which contexts are hot; seen: counts by context."""
-        ways = 1 + seen // max(1, total // HOT)
-        salt = ((self.words[self.word] >> U(20)) % ways[self.context].astype(U)).astype(np.int64)
-        part = ((self.contexts[self.context] >> U(40)).astype(np.int64) + salt) % parts
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1)), ways > 1
-
-
-def _split_words(p: Pack, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    part = ((p.words >> U(40)) % U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+_ASK = "part int, pack long, contexts binary, degrees binary, hot binary, below binary, words binary, totals binary, counts binary"
+_TOLD = "pack long, part int, totals binary, ids binary, open binary, classes binary, seen binary, context array<long>, sums array<double>"
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def _each_pack(batches):
+_SCHEMAS = {"pack": _schema(_PACK), "ask": _schema(_ASK), "told": _schema(_TOLD)}
+
+
+def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({f.name: [values.get(f.name)] for f in schema}, schema)
+
+
+def _each_row(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({f.name: [values.get(f.name)] for f in schema}, schema)
+def _counts_of_counts(total: np.ndarray) -> list[float]:
+    return np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].astype(float).tolist()
 
 
-_ASK1 = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
-_ASK2 = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("contexts", pa.binary()), ("degrees", pa.binary()), ("hot", pa.binary()), ("words", pa.binary()), ("totals", pa.binary()), ("counts", pa.binary())])
-_TOLD = pa.schema([("pack", pa.int64()), ("part", pa.int32()), ("totals", pa.binary()), ("open", pa.binary()), ("classes", pa.binary()), ("seen", pa.binary())])
+def _split(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by partition, and the partitions' ends in it."""
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+def _word_parts(words: np.ndarray, parts: int) -> np.ndarray:
+    return ((words >> U(20)) % U(parts)).astype(np.int64)
 
 
-def _add_words(rows: pa.Table) -> pa.Table:
-    """Totals of a partition's words: the partition's counts of counts, and each pack's own totals."""
-    words = [_load(x, U) for x in rows["words"].to_pylist()]
-    counts = np.concatenate([_load(x, np.uint32) for x in rows["counts"].to_pylist()])
-    known, back = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(back, counts, len(known)).astype(np.int64)
-    cut = np.cumsum([len(w) for w in words])[:-1]
-    part = rows["part"][0].as_py()
-    of = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-    stats = np.concatenate([of[1 : DISCOUNTED + 2], [total.sum(), (total > 0).sum()]]).astype(np.int64)
-    out = [_row(_TOLD, pack=-1, part=part, totals=_dump(stats))]
-    out += [_row(_TOLD, pack=k, part=part, totals=_dump(t.astype(np.uint32))) for k, t in zip(rows["pack"].to_pylist(), np.split(total[back], cut))]
-    return pa.Table.from_batches(out)
+def _add_words(parts: int):
+    """Totals and numbers of a partition's words: the most frequent have the smallest numbers; 0 is the start's."""
 
+    def add(rows: pa.Table) -> pa.Table:
+        part, packs = rows["part"][0].as_py(), rows["pack"].to_pylist()
+        words = [_load(x, U) for x in rows["words"].to_pylist()]
+        known, back = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, back, _loads(rows["counts"].to_pylist()))
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, -total))] = np.arange(len(known))
+        number = 1 + part + rank * parts
+        out = [_row(_SCHEMAS["told"], pack=-1, part=part, sums=[*_counts_of_counts(total), float(total.sum()), float((total > 0).sum())])]
+        for k, own in zip(packs, np.split(back, np.cumsum([len(w) for w in words])[:-1])):
+            out.append(_row(_SCHEMAS["told"], pack=k, part=part, totals=_dump(total[own]), ids=_dump(number[own])))
+        return pa.Table.from_batches(out)
+
+    return add
+
+
+def _place(columns: np.ndarray) -> np.ndarray:
+    """Numbers of the rows of a matrix: equal for equal rows, from 0."""
+    out = np.unique(columns[:, 0], return_inverse=True)[1]
+    for c in range(1, columns.shape[1]):
+        out = np.unique(out << 32 | np.unique(columns[:, c], return_inverse=True)[1], return_inverse=True)[1]
+    return out
 
-def _add_pairs(p_word):
-    """Totals of a partition's pairs, and the sums of its contexts where a pack needs them."""
+
+def _add_grams(order: int, below):
+    """Totals of a partition's n-grams, and the sums of its contexts where a pack needs them; below: probability in the shorter context."""
 
     def add(rows: pa.Table) -> pa.Table:
         part, packs = rows["part"][0].as_py(), rows["pack"].to_pylist()
-        heads = [_load(x, U) for x in rows["contexts"].to_pylist()]
-        degrees = [_load(x, np.uint32) for x in rows["degrees"].to_pylist()]
-        hot = [_load(x, np.uint8) for x in rows["hot"].to_pylist()]
-        six = [_load(x, np.uint8).reshape(-1, 6) for x in rows["words"].to_pylist()]
-        counts = np.concatenate([_load(x, np.uint32) for x in rows["counts"].to_pylist()])
-        of_word = np.concatenate([_load(x, np.uint32) for x in rows["totals"].to_pylist()])
-        words = np.zeros((len(counts), 8), np.uint8)
-        words[:, :6] = np.concatenate(six)
-        context, slot = np.unique(np.concatenate(heads), return_inverse=True)
-        slot = np.repeat(slot, np.concatenate(degrees))
-        pair = mix(context[slot] + mix(words.view(U).ravel()))
-        _, first, back = np.unique(pair, return_index=True, return_inverse=True)
-        total = np.bincount(back, counts, len(first)).astype(np.int64)
-        live = total > 0
-        owner = slot[first]
-        classes = np.stack([np.bincount(owner[total == c], minlength=len(context)) for c in range(1, DISCOUNTED + 1)], axis=1)
-        seen = np.bincount(owner[live], p_word(of_word[first][live]), len(context))
-        of = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-        out = [_row(_TOLD, pack=-1, part=part, totals=_dump(of[1 : DISCOUNTED + 2].astype(np.int64)))]
-        spread = np.isin(context, np.concatenate([h[f > 0] for h, f in zip(heads, hot)]))
-        if spread.any():
-            out.append(_row(_TOLD, pack=-2, part=part, totals=_dump(context[spread]), classes=_dump(classes[spread].astype(np.int64)), seen=_dump(seen[spread])))
-        own, each, at = total[back], [int(d.sum()) for d in degrees], 0
-        for k, head, degree, far, n in zip(packs, heads, degrees, hot, each):
-            mine, where = own[at : at + n], slot[at : at + n]
-            at += n
-            lead = np.cumsum(degree.astype(np.int64)) - degree
-            needs = np.minimum.reduceat(mine, lead) == 0
-            needs |= classes[where[lead]].sum(axis=1) == 0
-            ask = np.flatnonzero(needs & (far == 0))
-            at_context = where[lead][ask]
-            out.append(_row(_TOLD, pack=k, part=part, totals=_dump(mine.astype(np.uint32)), open=_dump(head[ask]), classes=_dump(classes[at_context].astype(np.uint32)), seen=_dump(seen[at_context])))
+        load = lambda name: [_load(x) for x in rows[name].to_pylist()]
+        degrees, hot, base = load("degrees"), load("hot"), load("below")
+        heads = np.concatenate([x.reshape(order - 1, -1).T for x in load("contexts")])
+        slot = _place(heads)
+        degree, contexts = np.concatenate(degrees), slot.max() + 1
+        of = np.repeat(slot, degree)
+        _, first, back = np.unique(of << 32 | np.unique(np.concatenate(load("words")), return_inverse=True)[1], return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, back, np.concatenate(load("counts")))
+        live, owner = total > 0, of[first]
+        classes = np.stack([np.bincount(owner[total == c], minlength=contexts) for c in range(1, DISCOUNTED + 1)], axis=1)
+        under = below(np.concatenate(load("totals"))[first], np.repeat(np.concatenate(base), degree)[first])
+        seen = np.bincount(owner[live], under[live], contexts)
+        out = [_row(_SCHEMAS["told"], pack=-1, part=part, sums=_counts_of_counts(total))]
+        spread = np.concatenate(hot) > 0
+        for s, i in zip(*np.unique(slot[spread], return_index=True)):
+            out.append(_row(_SCHEMAS["told"], pack=-2, part=part, context=heads[spread][i].tolist(), sums=[*classes[s].astype(float).tolist(), float(seen[s])]))
+        own, at, head_at = total[back], 0, 0
+        for k, d, far in zip(packs, degrees, hot):
+            mine, head = own[at : at + d.sum()], slot[head_at : head_at + len(d)]
+            at, head_at = at + len(mine), head_at + len(d)
+            needs = np.minimum.reduceat(mine, np.cumsum(d) - d) == 0
+            ask = np.flatnonzero((needs | (classes[head].sum(axis=1) == 0)) & (far == 0))
+            out.append(_row(_SCHEMAS["told"], pack=k, part=part, totals=_dump(mine), open=_dump(ask, True), classes=_dump(classes[head[ask]].ravel()), seen=_dump(seen[head[ask]])))
         return pa.Table.from_batches(out)
 
     return add
 
 
-def score_documents(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Model:
+    """What is known of the whole corpus: totals, discounts by order, hot contexts' sums by order."""
+
+    def __init__(self, parts: int, starts: int, stats: list[float]):
+        self.parts, self.starts = parts, starts
+        self.total, self.kinds = int(stats[-2]), int(stats[-1])
+        self.d, self.spread = [discounts(stats[:-2])], [{}]
+        spent = sum((1 - self.d[0][c]) * c * stats[c - 1] for c in range(1, DISCOUNTED + 1))
+        self.keep = 1.0 if spent else self.total / (self.total + 1)
+        self.unseen = spent / self.total if spent else 1 / (self.total + 1)
+
+    def p_word(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.keep * self.d[0][np.minimum(c, DISCOUNTED + 1)] * c / max(1, self.total), self.unseen)
+
+    def below(self, order: int):
+        """Probability of a seen n-gram of one order less by its count and by twice its context's count, odd if nothing is discounted there."""
+        if order == 2:
+            return lambda c, base: self.p_word(c)
+        d = self.d[order - 2]
+
+        def seen(c: np.ndarray, base: np.ndarray) -> np.ndarray:
+            n = np.maximum(1, base >> 1)
+            return np.where(base & 1, n / (n + 1), 1.0) * d[np.minimum(c, DISCOUNTED + 1)] * c / n
+
+        return seen
+
+
+class Pack:
+    """The n-grams of a pack, order by order; words stand in the order of their numbers."""
+
+    def __init__(self, row: dict, model: Model):
+        self.model = model
+        self.begin = _load(row["begin"])
+        words, told = _load(row["words"], U), row["t1"]
+        by_part, _ = _split(_word_parts(words, model.parts), model.parts)
+        totals, ids = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        totals[by_part], ids[by_part] = _loads(t["totals"] for t in told), _loads(t["ids"] for t in told)
+        order = np.argsort(ids)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.word_at = rank[_load(row["at"])]
+        self.train = np.repeat(~np.array(row["held_out"], bool), np.diff(self.begin))
+        self.ids = ids[order]
+        #: Of the last order: the n-gram at each token, totals and numbers by n-gram, contexts' flags and counts by context.
+        self.at, self.totals, self.numbers = self.word_at, totals[order], self.ids[:, None]
+        self.word_totals, self.p = self.totals, model.p_word(totals[order])
+        self.context, self.heads, self.whole = np.zeros(len(order), np.int64), np.array([model.total]), np.zeros(1, bool)
+
+    def deepen(self) -> None:
+        """The distinct n-grams of the next order; the context after the last n-gram's place is the start."""
+        before = np.empty_like(self.at)
+        before[1:] = self.at[:-1]
+        before[self.begin[:-1]] = len(self.totals)
+        gram, first, at = np.unique(before << 32 | self.word_at, return_index=True, return_inverse=True)
+        context, self.word, self.lower = gram >> 32, gram & 0xFFFFFFFF, self.at[first]
+        self.heads_below, self.whole_below, self.context_below = self.heads, self.whole, self.context
+        self.lower_totals = self.totals[self.lower]
+        self.heads = np.append(self.totals, self.model.starts)
+        self.head_numbers = np.vstack([self.numbers, np.zeros((1, self.numbers.shape[1]), np.int64)])
+        self.context, self.at, self.many = context, at, len(gram)
+        self.counts = np.bincount(at[self.train], minlength=len(gram))
+        key = np.zeros(len(self.heads), U)
+        for c in range(self.head_numbers.shape[1]):
+            key = mix(key * U(31) + self.head_numbers[:, c].astype(U))
+        ways = 1 + self.heads // max(1, self.model.total // HOT)
+        self.hot = ways > 1
+        salt = mix(self.ids[self.word].astype(U)) % ways[context].astype(U)
+        part = (((key >> U(20))[context] + salt) % U(self.model.parts)).astype(np.int64)
+        self.order, self.cut = _split(part, self.model.parts)
+        part = part[self.order]
+        #: Where a context begins in that order.
+        self.lead = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (context[self.order][1:] != context[self.order][:-1])]))
+
+    def asks(self, pack: int):
+        """A row for each partition that the pack has n-grams of."""
+        lead_cut = np.searchsorted(self.lead, self.cut)
+        base = self.heads_below[self.context_below[self.lower]] * 2 + self.whole_below[self.context_below[self.lower]]
+        for b in np.flatnonzero(np.diff(self.cut)):
+            own, lead = self.order[self.cut[b] : self.cut[b + 1]], self.lead[lead_cut[b] : lead_cut[b + 1]]
+            head = self.order[lead]
+            context = self.context[head]
+            yield _row(
+                _SCHEMAS["ask"],
+                part=b,
+                pack=pack,
+                contexts=_dump(self.head_numbers[context].T.ravel()),
+                degrees=_dump(np.diff(np.append(lead, self.cut[b + 1]))),
+                hot=_dump(self.hot[context].astype(np.int64)),
+                below=_dump(base[head]),
+                words=_dump(self.ids[self.word[own]]),
+                totals=_dump(self.lower_totals[own]),
+                counts=_dump(self.counts[own]),
+            )
+
+    def absorb(self, told: list[dict], order: int) -> None:
+        """Totals, probabilities and contexts of the order that ``deepen`` began, from the partitions' answers."""
+        d, model = self.model.d[order - 1], self.model
+        totals = np.empty(self.many, np.int64)
+        totals[self.order] = _loads(t["totals"] for t in told)
+        sums, given = np.zeros((len(self.heads), DISCOUNTED + 1)), np.zeros(len(self.heads), bool)
+        lead_cut = np.searchsorted(self.lead, self.cut)
+        starts = [lead_cut[t["part"]] for t in told]
+        asked = np.concatenate([_load(t["open"]) + s for t, s in zip(told, starts)])
+        at = self.context[self.order[self.lead[asked]]]
+        sums[at, :DISCOUNTED] = _loads(t["classes"] for t in told).reshape(-1, DISCOUNTED)
+        sums[at, DISCOUNTED] = _loads((t["seen"] for t in told), np.float64)
+        given[at] = True
+        for i in np.flatnonzero(self.hot):
+            if (found := model.spread[order - 1].get(tuple(self.head_numbers[i].tolist()))) is not None:
+                sums[i], given[i] = found, True
+        tokens = np.maximum(1, self.heads)
+        whole = given & (sums[:, :DISCOUNTED].sum(axis=1) == 0)
+        left = np.where(whole, 1 / (tokens + 1), sums[:, :DISCOUNTED] @ ((1 - d[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1)) / tokens)
+        backoff = np.where(self.heads > 0, left / (1 - sums[:, DISCOUNTED]), 1.0)
+        kept = np.where(whole, tokens / (tokens + 1), 1.0)
+        self.p = np.where(totals > 0, kept[self.context] * d[np.minimum(totals, DISCOUNTED + 1)] * totals / tokens[self.context], backoff[self.context] * self.p[self.lower])
+        self.whole, self.totals = whole, totals
+        self.numbers = np.column_stack([self.head_numbers[self.context], self.ids[self.word]])
+
+
+def _pack_of(row: dict, model: Model, order: int) -> Pack:
+    """A pack with the answers for all orders up to the given one."""
+    p = Pack(row, model)
+    for k in range(2, order + 1):
+        p.deepen()
+        p.absorb(row[f"t{k}"], k)
+    return p
+
+
+def score_documents(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held_out: SQL over doc_id, true for documents not learned from."""
     spark = docs.sparkSession
     ws = Workspace(spark, "katz")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = f"packs_{uuid.uuid4().hex}"
-    _packs(rows, f"coalesce({held_out}, false)").write.bucketBy(n, "pack").option("path", f"{ws.root}/packs").saveAsTable(table)
-    packs = spark.table(table)
-    parts = max(64, int(packs.agg(F.sum("size")).first()[0] or 0) // PART_BYTES)
+    try:
+        # Bucketed, so that joins with the answers do not move the packs.
+        _packs(rows, f"coalesce({held_out}, false)").write.bucketBy(n, "pack").option("path", f"{ws.root}/packs").saveAsTable(table)
+        return _score(spark.table(table), ws, order)
+    finally:
+        spark.sql(f"drop table if exists {table}")
+        ws.drop("packs")
+
+
+def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
+    size, starts = packs.agg(F.sum("size"), F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()
+    parts = max(64, int(size or 0) // PART_BYTES)
+    total = lambda told, many: [told.filter("pack = -1").agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(many)]).first()[i] for i in range(many)]
 
     def ask_words(batches):
-        for x in _each_pack(batches):
-            p = Pack(x["text"], x["ends"], x["held_out"])
-            order, cut = _split_words(p, parts)
+        for x in _each_row(batches):
+            words, counts = _load(x["words"], U), _load(x["counts"])
+            by_part, cut = _split(_word_parts(words, parts), parts)
             for b in np.flatnonzero(np.diff(cut)):
-                own = order[cut[b] : cut[b + 1]]
-                yield _row(_ASK1, part=b, pack=x["pack"], words=_dump(p.words[own]), counts=_dump(p.counts[own].astype(np.uint32)))
-
-    told1 = ws.save(packs.mapInArrow(ask_words, _ddl(_ASK1)).groupBy("part").applyInArrow(_add_words, _ddl(_TOLD)), "words")
-    stats = np.sum([_load(r.totals, np.int64) for r in told1.filter("pack = -1").select("totals").collect()] or [np.zeros(DISCOUNTED + 3, np.int64)], axis=0)
-    total, kinds = int(stats[-2]), int(stats[-1])
-    d1 = discounts({c + 1: float(stats[c]) for c in range(DISCOUNTED + 1)})
-    spent = sum((1 - d1[c]) * c * stats[c - 1] for c in range(1, DISCOUNTED + 1))
-    keep = 1.0 if spent else total / (total + 1)
-    unseen = spent / total if spent else 1 / (total + 1)
-
-    def p_word(c: np.ndarray) -> np.ndarray:
-        """Unigram probability by training count."""
-        c = c.astype(np.int64)
-        return np.where(c > 0, keep * d1[np.minimum(c, DISCOUNTED + 1)] * c / max(1, total), unseen)
-
-    def answers(told: DataFrame, name: str, cols: list[str]) -> DataFrame:
-        own = told.filter("pack >= 0").groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("part", *cols))).alias(name))
-        return own
-
-    def word_totals(p: Pack, told: list[dict]) -> np.ndarray:
-        order, _ = _split_words(p, parts)
-        out = np.zeros(len(p.words), np.int64)
-        out[order] = np.concatenate([_load(t["totals"], np.uint32) for t in told])
+                own = by_part[cut[b] : cut[b + 1]]
+                yield _row(_SCHEMAS["ask"], part=b, pack=x["pack"], words=_dump(words[own], True), counts=_dump(counts[own]))
+        give_back()
+
+    told = [ws.save(packs.select("pack", "words", "counts").mapInArrow(ask_words, _ASK).groupBy("part").applyInArrow(_add_words(parts), _TOLD), "order1")]
+    model = Model(parts, int(starts or 0), total(told[0], DISCOUNTED + 3))
+
+    def with_answers() -> DataFrame:
+        out = packs.drop("counts", "size")
+        for k, t in enumerate(told, 1):
+            cols = ["part", "totals", *(["ids"] if k == 1 else ["open", "classes", "seen"])]
+            own = t.filter("pack >= 0").groupBy("pack").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(f"t{k}"))
+            out = out.join(own, "pack")
         return out
 
-    def context_totals(p: Pack, words: np.ndarray) -> np.ndarray:
-        return np.append(words, starts)
+    for k in range(2, order + 1):
 
-    starts = int(packs.select(F.size(F.filter("held_out", lambda x: ~x)).alias("n")).agg(F.sum("n")).first()[0] or 0)
+        def ask(batches, k=k):
+            for x in _each_row(batches):
+                p = _pack_of(x, model, k - 1)
+                p.deepen()
+                yield from p.asks(x["pack"])
+            give_back()
 
-    def ask_pairs(batches):
-        for x in _each_pack(batches):
-            p = Pack(x["text"], x["ends"], x["held_out"])
-            words = word_totals(p, x["w"])
-            p.pairs()
-            order, cut, hot = p.bucket_pairs(context_totals(p, words), total, parts)
-            for b in np.flatnonzero(np.diff(cut)):
-                own = order[cut[b] : cut[b + 1]]
-                context, word = p.context[own], p.word[own]
-                new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                trained = p.pair_counts[own]
-                yield _row(
-                    _ASK2,
-                    part=b,
-                    pack=x["pack"],
-                    contexts=_dump(p.contexts[context[new]]),
-                    degrees=_dump(np.diff(np.append(new, len(own))).astype(np.uint32)),
-                    hot=_dump(hot[context[new]].astype(np.uint8)),
-                    words=_dump(p.words[word].view(np.uint8).reshape(-1, 8)[:, :6]),
-                    totals=_dump(words[word].astype(np.uint32)),
-                    counts=_dump(trained.astype(np.uint32)),
-                )
-
-    with_words = packs.join(answers(told1, "w", ["totals"]), "pack")
-    told2 = with_words.select("pack", "held_out", "ends", "text", "w").mapInArrow(ask_pairs, _ddl(_ASK2)).groupBy("part").applyInArrow(_add_pairs(p_word), _ddl(_TOLD))
-    told2 = ws.save(told2, "pairs")
-    of = np.sum([_load(r.totals, np.int64) for r in told2.filter("pack = -1").select("totals").collect()] or [np.zeros(DISCOUNTED + 1, np.int64)], axis=0)
-    d2 = discounts({c + 1: float(of[c]) for c in range(DISCOUNTED + 1)})
-    # At most HOT contexts, from as many partitions as they are spread over.
-    spread: dict[int, np.ndarray] = {}
-    for r in told2.filter("pack = -2").select("totals", "classes", "seen").collect():
-        sums = np.column_stack([_load(r.classes, np.int64).reshape(-1, DISCOUNTED), _load(r.seen, np.float64)])
-        for h, x in zip(_load(r.totals, U).tolist(), sums):
-            spread[h] = spread.get(h, 0) + x
-    spread_keys = np.array(sorted(spread), U)
-    spread_sums = np.array([spread[h] for h in spread_keys.tolist()]).reshape(-1, DISCOUNTED + 1)
-    lost = (1 - d2[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1)
+        told.append(ws.save(with_answers().mapInArrow(ask, _ASK).groupBy("part").applyInArrow(_add_grams(k, model.below(k)), _TOLD), f"order{k}"))
+        model.d.append(discounts(total(told[-1], DISCOUNTED + 1)))
+        # At most HOT contexts.
+        hot = told[-1].filter("pack = -2").groupBy("context").agg(*[F.sum(F.col("sums")[i]).alias(f"x{i}") for i in range(DISCOUNTED + 1)])
+        model.spread.append({tuple(r.context): np.array(r[1:]) for r in hot.collect()})
 
     def score(batches):
-        for x in _each_pack(batches):
-            p = Pack(x["text"], x["ends"], x["held_out"])
-            words = word_totals(p, x["w"])
-            p.pairs()
-            heads = context_totals(p, words)
-            order, _, _ = p.bucket_pairs(heads, total, parts)
-            pair = np.zeros(len(p.context), np.int64)
-            pair[order] = np.concatenate([_load(t["totals"], np.uint32) for t in x["t"]])
-            sums = np.zeros((len(heads), DISCOUNTED + 1))
-            given = np.zeros(len(heads), bool)
-            place = lambda h: np.where(h == START, len(p.words), np.searchsorted(p.words, h))
-            at = place(np.concatenate([_load(t["open"], U) for t in x["t"]]))
-            sums[at, :DISCOUNTED] = np.concatenate([_load(t["classes"], np.uint32) for t in x["t"]]).reshape(-1, DISCOUNTED)
-            sums[at, DISCOUNTED] = np.concatenate([_load(t["seen"], np.float64) for t in x["t"]])
-            given[at] = True
-            own = np.isin(spread_keys, p.contexts)
-            at = place(spread_keys[own])
-            sums[at], given[at] = spread_sums[own], True
-            tokens = np.maximum(1, heads)
-            left = sums[:, :DISCOUNTED] @ lost / tokens
-            whole = given & (sums[:, :DISCOUNTED].sum(axis=1) == 0)
-            left = np.where(whole, 1 / (tokens + 1), left)
-            backoff = np.where(heads > 0, left / (1 - sums[:, DISCOUNTED]), 1.0)
-            part = np.where(whole, tokens / (tokens + 1), 1.0)
-            low = p_word(words)
-            p_pair = np.where(
-                pair > 0,
-                part[p.context] * d2[np.minimum(pair, DISCOUNTED + 1)] * pair / tokens[p.context],
-                backoff[p.context] * low[p.word],
-            )
-            log = np.log10(p_pair)[p.pair_at]
-            base = np.log10((words + 1) / (total + kinds + 1))[p.at]
+        for x in _each_row(batches):
+            p = _pack_of(x, model, order)
             begin = p.begin[:-1]
-            cols = [pa.array(x["doc_id"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(np.diff(p.begin)), pa.array(np.add.reduceat((words > 0)[p.at].astype(np.int64), begin)), pa.array(np.full(p.docs, total, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(log, begin))]
+            base = np.log10((p.word_totals + 1) / (model.total + model.kinds + 1))[p.word_at]
+            known = (p.word_totals > 0)[p.word_at].astype(np.int64)
+            many = len(begin)
+            cols = [pa.array(x["doc_id"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(np.diff(p.begin)), pa.array(np.add.reduceat(known, begin)), pa.array(np.full(many, model.total, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(np.log10(p.p)[p.at], begin))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        give_back()
 
-    both = with_words.join(answers(told2, "t", ["totals", "open", "classes", "seen"]), "pack")
-    out = both.select("doc_id", "held_out", "ends", "text", "w", "t").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = with_answers().mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = ws.save(out, "scores")
-    spark.sql(f"drop table {table}")
-    ws.drop("packs", "words", "pairs")
+    ws.drop(*(f"order{k}" for k in range(1, order + 1)))
     return out
