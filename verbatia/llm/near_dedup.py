@@ -8,7 +8,11 @@ probability (1 - 0.8 ** rows) ** bands, 1e-7 for 40 bands of 5 rows. Two nodes t
 meet are compared by their odd sketches: each of the samples (its number and its value) flips one bit of a bitmap of
 ``BITS`` bits. With x bits in which two bitmaps of k samples differ, 1 + BITS / 4k * ln(1 - 2x / BITS) estimates the similarity
 of the sets, most precisely where it is high. Pairs whose estimate is ``SLACK`` or more below the threshold (over six standard
-deviations of the estimate at the threshold) are no candidates, nor are pairs whose sizes rule the threshold out. Candidates are confirmed on
+deviations of the estimate at the threshold) are no candidates, nor are pairs whose sizes rule the threshold out. A second odd
+sketch, of the shingles themselves (all whose hash is below a threshold, which is 1 for sets of up to ``SAMPLE`` shingles and halves for every
+doubling beyond), rules out most of the others: its XOR never counts more bits than the shingles in which the sampled sets
+differ, so a pair with more than any pair at the threshold can have (exactly, for whole sets; by ``DEVIATIONS`` of the
+sampling beyond) is no candidate. Candidates are confirmed on
 their full sets: 100 * intersection >= 100 * threshold * union.
 
 Buckets are never expanded into all their pairs: first every node is checked against the most similar
@@ -38,7 +42,10 @@ SKETCH_WORDS = 12
 BITS = 64 * SKETCH_WORDS
 #: How far below the threshold an estimate may be; 200 samples in 768 bits have a standard deviation of 0.032 at 0.8.
 SLACK = 0.2
+#: Shingles of a set that its second sketch holds at most, on average, its words, and standard deviations by which a sample may differ more than its set.
+SAMPLE, WHOLE_WORDS, DEVIATIONS = 1024, 16, 6.0
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+_WHOLE = [f"w{i}" for i in range(WHOLE_WORDS)]
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,21 +55,27 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def estimate(samples: int) -> Column:
     """Similarity of the sets of sides a and b by the bits in which their odd sketches differ; null beyond the sketches' reach."""
-    share = F.lit(1.0) - 2.0 * _apart() / BITS
+    share = F.lit(1.0) - 2.0 * _apart(_SKETCH) / BITS
     return F.when(share > 0, F.lit(1.0) + F.log(share) * BITS / (4.0 * samples))
 
 
 def alike(threshold: int, samples: int) -> Column:
     """Whether sides a and b may be similar enough by their sizes and sketches; threshold in hundredths."""
     sizes = 100 * F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
-    return sizes & F.coalesce(estimate(samples) > threshold / 100 - SLACK, F.lit(False))
+    both = F.col("a.n") + F.col("b.n")
+    differ = both - 2 * F.ceil(threshold * both / (100 + threshold))
+    sampled = differ / F.pow(F.lit(2.0), "a.level")
+    most = F.when(F.col("a.level") == 0, differ).otherwise(sampled + DEVIATIONS * F.sqrt(sampled) + 1)
+    # Samples of different levels (sizes on either side of a doubling) are not compared.
+    bound = (F.col("a.level") != F.col("b.level")) | (_apart(_WHOLE) <= most)
+    return sizes & F.coalesce(estimate(samples) > threshold / 100 - SLACK, F.lit(False)) & bound
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Rows (doc_id, text_key, n, node, keys, s0..): set size, set identity, band keys, odd sketch of the samples."""
+    """Rows (doc_id, text_key, n, node, keys, level, s0.., w0..): set size, set identity, band keys, sampling level, odd sketches of the samples and of the shingles."""
     samples = bands * rows
     mul, add = _multipliers(samples)
-    schema = "doc_id long, text_key long, n long, node long, keys array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+    schema = "doc_id long, text_key long, n long, node long, keys array<long>, level int, " + ", ".join(f"{s} long" for s in [*_SKETCH, *_WHOLE])
 
     def run(batches):
         for batch in batches:
@@ -85,11 +98,17 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                         band = v if i % rows == 0 else mix(band * U(31) + v)
                         if i % rows == rows - 1:
                             keys[full, i // rows] = mix(band + U(i))
+                level = np.ceil(np.log2(np.maximum(1, size / SAMPLE))).astype(np.int64)
+                row, kind = np.repeat(np.arange(hi - lo), size), mix(h ^ U(0x94D049BB133111EB))
+                taken = kind < (U(0xFFFFFFFFFFFFFFFF) >> level[row].astype(U))
+                cell = row[taken] * (64 * WHOLE_WORDS) + (kind[taken] % U(64 * WHOLE_WORDS)).astype(np.int64)
+                whole = (np.bincount(cell, minlength=(hi - lo) * 64 * WHOLE_WORDS) & 1).astype(np.uint8).reshape(hi - lo, -1)
+                sketch = np.concatenate([sketch, whole], axis=1)
                 words = np.packbits(sketch, axis=1, bitorder="little").view("<i8")
                 flat = pa.array(keys[full].view(np.int64).ravel())
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
-                cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(size), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(words[:, i]) for i in range(SKETCH_WORDS)], ["doc_id", "text_key", "n", "node", "keys", *_SKETCH])
+                cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(size), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(level.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(words[:, i]) for i in range(words.shape[1])], ["doc_id", "text_key", "n", "node", "keys", "level", *_SKETCH, *_WHOLE])
         give_back()
 
     return docs.mapInArrow(run, schema)
@@ -108,10 +127,10 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
-def _apart() -> Column:
-    """Bits in which the sketches of sides a and b differ."""
-    total = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0")))
-    for s in _SKETCH[1:]:
+def _apart(sketch: list[str]) -> Column:
+    """Bits in which a sketch of sides a and b differs."""
+    total = F.bit_count(F.col(f"a.{sketch[0]}").bitwiseXOR(F.col(f"b.{sketch[0]}")))
+    for s in sketch[1:]:
         total = total + F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")))
     return total
 
@@ -127,8 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row for each distinct set; the text that stands for it is found again by its key.
     head = signed.filter("n > 0").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("of"), F.count("*").alias("copies"))
     nodes = signed.alias("g").join(head.alias("h"), (F.col("g.node") == F.col("h.node")) & (F.col("g.text_key") == F.col("h.of.text_key")) & F.col("g.doc_id").eqNullSafe(F.col("h.of.doc_id")))
-    nodes = ws.save(nodes.select("g.node", "g.text_key", "g.n", "g.keys", *[f"g.{s}" for s in _SKETCH]).dropDuplicates(["node"]), "nodes")
-    sketches = nodes.select("node", "n", *_SKETCH)
+    nodes = ws.save(nodes.select("g.node", "g.text_key", "g.n", "g.keys", "g.level", *[f"g.{s}" for s in [*_SKETCH, *_WHOLE]]).dropDuplicates(["node"]), "nodes")
+    sketches = nodes.select("node", "n", "level", *_SKETCH, *_WHOLE)
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     similar = alike(threshold, bands * rows)
 
@@ -158,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("largest")).filter("comps > 1")
     mixed = ws.save(mixed.select("key", "largest"), "mixed")
-    inside = ws.save(placed.join(mixed, "key").join(nodes.select("node", "n", "keys", *_SKETCH), "node"), "inside")
+    inside = ws.save(placed.join(mixed, "key").join(nodes.select("node", "n", "level", "keys", *_SKETCH, *_WHOLE), "node"), "inside")
     ws.drop("placed")
     a, b = inside.filter("comp <> largest").alias("a"), inside.alias("b")
     # A pair may meet in many buckets; it counts in the first of them.
