@@ -375,6 +375,7 @@ def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
         give_back()
 
     told = [ws.save(packs.select("pack", "words", "counts").mapInArrow(ask_words, _ASK).groupBy("part").applyInArrow(_add_words(parts), _TOLD), "order1")]
+    ws.release()
     model = Model(parts, int(starts or 0), total(told[0], DISCOUNTED + 3))
 
     def with_answers() -> DataFrame:
@@ -395,6 +396,7 @@ def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
             give_back()
 
         told.append(ws.save(with_answers().mapInArrow(ask, _ASK).groupBy("part").applyInArrow(_add_grams(k, model.below(k)), _TOLD), f"order{k}"))
+        ws.release()
         model.d.append(discounts(total(told[-1], DISCOUNTED + 1)))
         # At most HOT contexts.
         hot = told[-1].filter("pack = -2").groupBy("context").agg(*[F.sum(F.col("sums")[i]).alias(f"x{i}") for i in range(DISCOUNTED + 1)])
