@@ -8,9 +8,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from verbatia.plans import sql
-from verbatia.plans.queries import QUERIES
+from verbatia.plans import findings, findings_sql, queries, sql
 
+QUERIES, ORACLE = queries.QUERIES | findings.QUERIES, sql.ORACLE | findings_sql.ORACLE
 DATA = Path("/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
@@ -29,10 +29,10 @@ def plain(value):
     return (1, f"{value:.5f}") if isinstance(value, float) else (2, str(value))
 
 
-@pytest.mark.parametrize("name", sorted(sql.ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, str(DATA))
-    want = duck.execute(sql.ORACLE[name])
+    want = duck.execute(ORACLE[name])
     columns = [d[0] for d in want.description]
     assert {c: TYPES[t] for c, t in df.dtypes} == {d[0]: str(d[1]) for d in want.description}
     rows = want.fetchall()
@@ -41,4 +41,4 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(sql.ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) and set(findings.QUERIES) == set(findings_sql.ORACLE)

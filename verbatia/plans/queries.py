@@ -136,7 +136,7 @@ def overlap_join(spark, sf):
 
 @query
 def hidden_phrases(spark, sf):
-    t = _tiered(spark, sf)
+    t = _runs(spark, sf).withColumn("tier", phrases.tier(phrases.Thresholds(mass_floor=14.0)))
     shown = t.filter("tier <> 'hidden'").select("doc_id", F.col("d0").alias("s2"), F.col("d1").alias("e2"))
     alone = intervals.overlap_join(t.filter("tier = 'hidden'"), shown, ["doc_id"], "left_anti", a_range=("d0", "d1"))
     return alone.groupBy("doc_id").agg(F.count("*").alias("n_hidden"))
@@ -323,9 +323,12 @@ def character_errors(spark, sf):
 
 @query
 def label_violations(spark, sf):
-    c = _corpus(spark, sf)
-    r = _runs(spark, sf).join(_tokens(spark, sf).select("doc_id", F.col("tok").alias("d0"), "fold"), ["doc_id", "d0"])
-    return r.join(c.tokens.select("work", F.col("pos").alias("b0"), "fold"), ["work", "b0", "fold"], "left_anti").select("doc_id", "work", "d0")
+    """How every run ends: at the end of the text or of the work, or where they differ; a run that could go on is a violation."""
+    t = _tokens(spark, sf).select("doc_id", F.col("tok").alias("d1"), F.col("fold").alias("said"))
+    c = _corpus(spark, sf).tokens.select("work", F.col("pos").alias("b1"), F.col("fold").alias("source"))
+    r = _runs(spark, sf).join(t, ["doc_id", "d1"], "left").join(c, ["work", "b1"], "left")
+    verdict = F.when(F.col("said").isNull(), "text_ends").when(F.col("source").isNull(), "work_ends").when(F.col("said") == F.col("source"), "not_maximal").otherwise("differs")
+    return r.select("doc_id", "work", "d0", "said", "source", verdict.alias("verdict"))
 
 
 @query

@@ -40,7 +40,8 @@ def runs(tokens: str, key: str = "doc_id", name: str = "runs", seed_df: int = 4,
 
 DOC = tokens_of("dtok", "documents", "doc_id")
 TURN = tokens_of("ttok", "(select conv_id * 1000 + turn as doc_id, text from conversations)", "doc_id")
-BASE = f"with recursive {CORPUS},\n{DOC},\n{runs('dtok')}"
+#: Shared parts are derived once.
+BASE = f"with recursive {CORPUS},\n{DOC},\n{runs('dtok')}".replace("ctok as (", "ctok as materialized (").replace("dtok as (", "dtok as materialized (").replace("runs as (", "runs as materialized (")
 TIER = "case when mass < 6.0 then 'hidden' when (words >= 4 and mass >= 12.0) or (words >= 5 and mass >= 9.0) then 'candidate' else 'possible' end"
 
 
@@ -72,7 +73,7 @@ OFFSETS = f"""doff0 as (
   select doc_id, i - 1 as tok, l[i] as raw, g[i] as gap, length(g[i]) + length(l[i]) as step
   from (select doc_id, regexp_extract_all(text, '{TOKEN}') as l, regexp_split_to_array(text, '{TOKEN}') as g from documents) x,
        unnest(range(1, len(l) + 1)) as t(i)),
-doff as (
+doff as materialized (
   select doc_id, tok, raw, gap, cast(sum(step) over (partition by doc_id order by tok) - length(raw) as bigint) as start,
          cast(sum(step) over (partition by doc_id order by tok) as bigint) as "end" from doff0)"""
 
@@ -115,15 +116,18 @@ select doc_id, tok, fold, next_fold, units from nth where nth % 2 = 1""",
   group by doc_id, seg)
 select r.doc_id, r.work, r.d0, r.d1, cast(p.seg as bigint) as paragraph, least(r.d1, p.e2) - greatest(r.d0, p.s2) as shared
 from runs r join para p on r.doc_id = p.doc_id and r.d0 < p.e2 and p.s2 < r.d1""",
-    "hidden_phrases": f"""{BASE}, t as (select *, {TIER} as tier from runs)
+    "hidden_phrases": f"""{BASE}, t as (select *, case when mass < 14.0 then 'hidden' else 'shown' end as tier from runs)
 select h.doc_id, count(*) as n_hidden from t h where h.tier = 'hidden'
   and not exists (select 1 from t k where k.tier <> 'hidden' and k.doc_id = h.doc_id and k.d0 < h.d1 and h.d0 < k.d1) group by h.doc_id""",
-    "boundary_status": f"""{BASE},\n{OFFSETS}
-select r.doc_id, r.work, r.d0, r.d1,
-  case when b.p0 is not null then 'unit_start' when r.d0 = 0 then 'text_start' when regexp_matches(o.gap, '[.!?:;\\n]') then 'punctuation' else 'uncertain' end as start_status,
-  case when e.p1 is not null then 'unit_end' when x.gap is null then 'text_end' when regexp_matches(x.gap, '[.!?:;\\n]') then 'punctuation' else 'uncertain' end as end_status
-from runs r left join bounds b on b.work = r.work and b.p0 = r.b0 left join bounds e on e.work = r.work and e.p1 = r.b1
-join doff o on o.doc_id = r.doc_id and o.tok = r.d0 left join doff x on x.doc_id = r.doc_id and x.tok = r.d1""",
+    "boundary_status": f"""{BASE},\n{OFFSETS},
+s1 as materialized (select r.*, o.gap as before from runs r join doff o on o.doc_id = r.doc_id and o.tok = r.d0),
+s2 as materialized (select r.*, x.gap as after from s1 r left join doff x on x.doc_id = r.doc_id and x.tok = r.d1),
+s3 as materialized (select r.*, b.p0 as at_start from s2 r left join bounds b on b.work = r.work and b.p0 = r.b0),
+s4 as materialized (select r.*, b.p1 as at_end from s3 r left join bounds b on b.work = r.work and b.p1 = r.b1)
+select doc_id, work, d0, d1,
+  case when at_start is not null then 'unit_start' when d0 = 0 then 'text_start' when regexp_matches(before, '[.!?:;\\n]') then 'punctuation' else 'uncertain' end as start_status,
+  case when at_end is not null then 'unit_end' when after is null then 'text_end' when regexp_matches(after, '[.!?:;\\n]') then 'punctuation' else 'uncertain' end as end_status
+from s4""",
     "diagonal_votes": f"""with {CORPUS},\n{DOC},
 met as (select d.doc_id, c.work, d.tok - c.pos as diag, v.idf from dtok d join ctok c on d.fold = c.fold join vocab v on v.fold = c.fold where v.df <= 3),
 votes as (select doc_id, work, diag, round(sum(idf + 0.1), 6) as votes from met group by doc_id, work, diag),
@@ -218,7 +222,8 @@ select a.event_id, a.user_id, a.event_type, b.value as decision from a left join
     "character_errors": """with b as (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as text from benchmark)
 select a.item_id, b.item_id as next_item, levenshtein(a.text, b.text) as distance, length(a.text) as n_chars, round(levenshtein(a.text, b.text) * 1.0 / length(a.text), 6) as cer
 from b a join b on b.item_id = a.item_id + 1""",
-    "label_violations": f"""{BASE} select r.doc_id, r.work, r.d0 from runs r where not exists (select 1 from ctok c where c.work = r.work and c.pos = r.b0 and c.fold = (select d.fold from dtok d where d.doc_id = r.doc_id and d.tok = r.d0))""",
+    "label_violations": f"""{BASE}, k as (select r.*, x.fold as said, c.fold as source from runs r left join dtok x on x.doc_id = r.doc_id and x.tok = r.d1 left join ctok c on c.work = r.work and c.pos = r.b1)
+select doc_id, work, d0, said, source, case when said is null then 'text_ends' when source is null then 'work_ends' when said = source then 'not_maximal' else 'differs' end as verdict from k""",
     "tier_pivot": f"""{BASE}, t as (select *, {TIER} as tier from runs)
 select d.lang, count(*) filter (t.tier = 'candidate') as candidate, count(*) filter (t.tier = 'possible') as possible, count(*) filter (t.tier = 'hidden') as hidden
 from t join documents d using (doc_id) group by d.lang""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -43,7 +44,7 @@ def docx_text(raw: bytes) -> tuple[str | None, str | None]:
             if any(e.flag_bits & 1 for e in entries):
                 return None, "encrypted"
             parts = [z.read(n) for n in ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml") if n in names]
-    except (zipfile.BadZipFile, zipfile.LargeZipFile, EOFError, NotImplementedError):
+    except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, NotImplementedError):
         return None, "damaged"
     if any(b"<!DOCTYPE" in p or b"<!ENTITY" in p for p in parts):
         return None, "damaged"
