@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from verbatia.operators.corpus import Corpus
 
-#: Documents with a seed whose ids may be broadcast.
-BROADCAST_DOCS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -36,18 +33,19 @@ LARGE = Thresholds(seed_df=300, mass_floor=12.0, mass_candidate=20.0, mass_commo
 def exact_runs(tokens: DataFrame, corpus: Corpus, bars: Thresholds = Thresholds()) -> DataFrame:
     """Maximal runs of equal words: (doc_id, work, d0, d1, b0, b1, words, mass, rarest).
 
-    A run of two words or more that holds a rare word holds a pair of neighbours with it, so the pairs
-    with a rare word are the only seeds. A seed names a diagonal (place in the document less place in
+    A run of n words or more that holds a rare word holds n neighbours with it, so the n-grams (n is three, or
+    the least words of a run) with a rare word are the only seeds. A seed names a diagonal (place in the document less place in
     the work); the work's words are then laid on the diagonal and compared with the document's.
     """
-    rare = corpus.vocab.filter(F.col("df") <= bars.seed_df).select("fold")
-    pairs = corpus.pairs
-    first = pairs.join(rare, "fold", "left_semi")
-    second = pairs.join(rare.withColumnRenamed("fold", "next_fold"), "next_fold", "left_semi")
-    seeds = first.unionByName(second).select("fold", "next_fold", "work", "pos").distinct()
-    following = F.lead("fold").over(W.partitionBy("doc_id").orderBy("tok"))
-    doc_pairs = tokens.select("doc_id", "tok", "fold", following.alias("next_fold"))
-    keys = doc_pairs.join(corpus.small(seeds), ["fold", "next_fold"]).select("doc_id", "work", (F.col("tok") - F.col("pos")).alias("diag")).distinct()
+    n = max(2, min(3, bars.min_words))
+    grams = [f"g{i}" for i in range(n)]
+    work, doc = W.partitionBy("work").orderBy("pos"), W.partitionBy("doc_id").orderBy("tok")
+    ahead = lambda line: [F.lead("fold", i).over(line).alias(g) for i, g in enumerate(grams)]
+    rare = corpus.vocab.filter(F.col("df") <= bars.seed_df).select("fold", F.lit(True).alias("rare"))
+    known = corpus.tokens.join(rare, "fold", "left").select("work", "pos", *ahead(work), F.max("rare").over(work.rowsBetween(0, n - 1)).alias("rare"))
+    seeds = known.filter(F.col("rare") & F.col(grams[-1]).isNotNull()).drop("rare")
+    said = tokens.select("doc_id", "tok", *ahead(doc)).filter(F.col(grams[-1]).isNotNull())
+    keys = said.join(corpus.small(seeds), grams).select("doc_id", "work", (F.col("tok") - F.col("pos")).alias("diag")).distinct()
     laid = keys.join(corpus.small(corpus.tokens.join(corpus.vocab, "fold")), "work").select("doc_id", "work", "diag", "pos", (F.col("pos") + F.col("diag")).alias("tok"), "fold", "df", "idf")
     met = laid.join(tokens.select("doc_id", "tok", "fold"), ["doc_id", "tok", "fold"])
     line = W.partitionBy("doc_id", "work", "diag").orderBy("tok")
