@@ -314,6 +314,12 @@ def test_language(spark, docs):
     assert {x.p.lang for x in language.identify(odd, {}, out="p").collect()} == {"und"}
 
 
+@pytest.mark.parametrize("before", ["<script>for(i=0;i<n;i++){x='a';}</script>", "<svg><g><svg><text>no</text></svg><text>nor</text></svg>"])
+def test_formulas_stay_and_raw_elements_go(before):
+    blocks = html_text.leaf_blocks(before + "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object>shown</object>.</p>")
+    assert " ".join(t for t, *_ in blocks) in ("Let x=1 be shown.", "Let x=1 be shown .")
+
+
 def test_secret_layers():
     secret = "password=abcdefghijklmnop"
     b64 = lambda b: base64.b64encode(b).decode()

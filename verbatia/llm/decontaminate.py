@@ -11,8 +11,9 @@ Cases: a null or empty text has no words, no hits and no items. Repeated rows ar
 Items that are null or without words have no window; repeated item ids count once. An empty table of
 items hits nothing. Only the named id and text columns are read, so other columns may have any name.
 
-Items pass in blocks of at most ``BLOCK_BYTES`` of text; each block is a broadcast of bounded size, and
-the documents are read once per block, so the benchmark may be of any size.
+Items of at most ``BLOCK_BYTES`` of text in all are one broadcast index of bounded size. Beyond that the same join is one of
+tables: the items' shingles and windows, the documents' counts of those shingles, each window's rarest shingle, the documents'
+positions of these, and the candidates of each text verified word by word; nothing but the size reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatia.llm.bytes_np import ALNUM, Words, chunks, mix, prefix_sums, span_hash, U
-from verbatia.llm.work import bound_batches, give_back
+from verbatia.llm.work import Workspace, bound_batches, give_back
 
 GRAM = 3
 BLOCK_BYTES = 8 << 20
@@ -182,35 +183,107 @@ def _match(docs: DataFrame, index, spelling) -> DataFrame:
     return docs.mapInArrow(run, HITS)
 
 
+def _windows_of(items: DataFrame, size: int) -> DataFrame:
+    """(item, k, span, grams, words): every window of the items, the hashes of its shingles and its words."""
+
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                w, spelled = _item_words(text)
+                span = min(size, len(spelled))
+                k = min(GRAM, span)
+                h = _gram(w.hash, k).view(np.int64).tolist() if spelled else []
+                starts = range(len(spelled) - span + 1) if spelled else ()
+                n = len(starts)
+                rows = {"item": [name] * n, "k": [k] * n, "span": [span] * n, "grams": [h[s : s + span - k + 1] for s in starts], "words": [b" ".join(spelled[s : s + span]).decode() for s in starts]}
+                yield pa.RecordBatch.from_pydict(rows, pa.schema([("item", pa.string()), ("k", pa.int32()), ("span", pa.int32()), ("grams", pa.list_(pa.int64())), ("words", pa.string())]))
+
+    return items.mapInArrow(run, "item string, k int, span int, grams array<long>, words string")
+
+
+def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(text_key, k, gram, pos): every shingle of the documents."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, _, data, offsets in chunks(batch.column("text")):
+                w = Words(data, offsets, ALNUM)
+                keys = batch.column("text_key")
+                for k in lengths:
+                    n = max(0, len(w.hash) - k + 1)
+                    inside = w.doc[:n] == w.doc[k - 1 :][:n]
+                    at = np.flatnonzero(inside)
+                    doc = w.doc[at]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(lo + doc)), pa.array(np.full(len(at), k, np.int32)), pa.array(_gram(w.hash, k)[at].view(np.int64)), pa.array(at - w.first[doc])], ["text_key", "k", "gram", "pos"])
+        give_back()
+
+    return docs.select("text_key", "text").mapInArrow(run, "text_key long, k int, gram long, pos long")
+
+
+def _verified(rows: DataFrame) -> DataFrame:
+    """Hits of documents with candidates (s, span, words): the candidates whose words stand there."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column("text")):
+                w = Words(data, offsets, ALNUM)
+                hits, found = [], []
+                for d, cands in enumerate(batch.column("cands").slice(lo, hi - lo).to_pylist()):
+                    own, first, last = [], w.first[d], w.first[d + 1]
+                    for c in cands or ():
+                        a, b = first + c["s"], first + c["s"] + c["span"]
+                        if first <= a and b <= last and b" ".join(bytes(w.low[x:y]) for x, y in zip(w.start[a:b], w.end[a:b])).decode() == c["words"]:
+                            own.append((c["s"], c["s"] + c["span"], c["words"]))
+                    ranges: list[dict] = []
+                    for s, e, _ in sorted(own):
+                        if ranges and s <= ranges[-1]["e"]:
+                            ranges[-1]["e"] = max(e, ranges[-1]["e"])
+                        else:
+                            ranges.append({"s": s, "e": e})
+                    hits.append(ranges)
+                    found.append(sorted({x for *_, x in own}))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array(hits, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(found, pa.list_(pa.string()))],
+                    ["doc_id", "text_key", "n_words", "hits", "windows"],
+                )
+        give_back()
+
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_words long, hits array<struct<s:int,e:int>>, windows array<string>")
+
+
+def _by_tables(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The join for items beyond one block."""
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    every = ws.save(_windows_of(items, size), "windows")
+    lengths = [r.k for r in every.select("k").distinct().collect()]  # GRAM of them at most
+    windows = every.select("k", "span", "grams", "words").dropDuplicates(["words", "span"])
+    shingles = ws.save(windows.select("k", F.explode("grams").alias("gram")).distinct(), "shingles")
+    positions = _positions(docs, lengths)
+    # Written before they are joined, so that the rows of one shingle may be split over tasks.
+    counts = ws.save(positions.groupBy("k", "gram").agg(F.count("*").alias("n")).join(shingles, ["k", "gram"], "left_semi"), "counts")
+    each = windows.select("k", "span", "words", F.posexplode("grams").alias("o", "gram")).join(counts, ["k", "gram"], "left")
+    # A window with a shingle that no document has occurs nowhere.
+    rarest = each.groupBy("words", "span", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "o")).alias("r")).filter("r.n > 0")
+    index = ws.save(rarest.select("k", F.col("r.gram").alias("gram"), F.col("r.o").alias("o"), "span", "words"), "index")
+    met = positions.join(index, ["k", "gram"]).select("text_key", (F.col("pos") - F.col("o")).cast("int").alias("s"), "span", "words").filter("s >= 0").distinct()
+    cands = ws.save(met.groupBy("text_key").agg(F.collect_list(F.struct("s", "span", "words")).alias("cands")), "candidates")
+    found = ws.save(_verified(docs.join(cands, "text_key", "left").select("doc_id", "text_key", "text", "cands")), "found")
+    named = found.select("text_key", F.explode("windows").alias("words")).distinct().join(every.select("words", "item").distinct(), "words")
+    named = named.groupBy("text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.expr("cast(array() as array<string>)")
+    return found.drop("windows").join(named, "text_key", "left").select("doc_id", "text_key", "n_words", "hits", F.coalesce("items", none).alias("items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13) -> DataFrame:
     """Rows (doc_id, text_key, n_words, hits, items): text_key is xxhash64 of the text; hit word ranges and the sorted ids of occurring items, per document."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // BLOCK_BYTES))
-    parts = []
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).distinct() if blocks > 1 else items.distinct()
-        parts.append(_match(docs, *_index(docs, [tuple(r) for r in own.collect()], size)))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # Ranges of several blocks may overlap; they are joined into maximal ones.
-    joined = every.groupBy("doc_id", "text_key", "n_words").agg((F.count("*") / blocks).cast("int").alias("copies"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.aggregate(
-        "hits",
-        F.expr("cast(array() as array<struct<s:int,e:int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return joined.select("doc_id", "text_key", "n_words", merged.alias("hits"), "items")
+    if total > BLOCK_BYTES:
+        return _by_tables(docs, items, size)
+    return _match(docs, *_index(docs, [tuple(r) for r in items.collect()], size))
 
 
 def hit_words() -> Column:
