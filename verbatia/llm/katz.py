@@ -331,8 +331,13 @@ class Pack:
         backoff = np.where(self.heads > 0, left / (1 - sums[:, DISCOUNTED]), 1.0)
         kept = np.where(whole, tokens / (tokens + 1), 1.0)
         self.p = np.where(totals > 0, kept[self.context] * d[np.minimum(totals, DISCOUNTED + 1)] * totals / tokens[self.context], backoff[self.context] * self.p[self.lower])
-        self.whole, self.totals = whole, totals
-        self.numbers = np.column_stack([self.head_numbers[self.context], self.ids[self.word]])
+        # By last word, then context: contexts of the next order that share their shorter context stand together in its rows.
+        by_word = np.argsort(self.word << 32 | self.context)
+        rank = np.empty_like(by_word)
+        rank[by_word] = np.arange(len(by_word))
+        self.numbers = np.column_stack([self.head_numbers[self.context], self.ids[self.word]])[by_word]
+        self.at, self.p, self.context = rank[self.at], self.p[by_word], self.context[by_word]
+        self.whole, self.totals = whole, totals[by_word]
 
 
 def _pack_of(row: dict, model: Model, order: int) -> Pack:
@@ -375,7 +380,6 @@ def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
         give_back()
 
     told = [ws.save(packs.select("pack", "words", "counts").mapInArrow(ask_words, _ASK).groupBy("part").applyInArrow(_add_words(parts), _TOLD), "order1")]
-    ws.release()
     model = Model(parts, int(starts or 0), total(told[0], DISCOUNTED + 3))
 
     def with_answers() -> DataFrame:
@@ -396,7 +400,6 @@ def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
             give_back()
 
         told.append(ws.save(with_answers().mapInArrow(ask, _ASK).groupBy("part").applyInArrow(_add_grams(k, model.below(k)), _TOLD), f"order{k}"))
-        ws.release()
         model.d.append(discounts(total(told[-1], DISCOUNTED + 1)))
         # At most HOT contexts.
         hot = told[-1].filter("pack = -2").groupBy("context").agg(*[F.sum(F.col("sums")[i]).alias(f"x{i}") for i in range(DISCOUNTED + 1)])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 
 import pyarrow as pa
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 250_000
 #: Bytes of an Arrow batch of texts; the JVM and the Python worker of every core hold a few of them.
 ARROW_BYTES = "4m"
+#: Spark's setting by which a query removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -46,15 +47,15 @@ class Workspace:
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Write a table; Spark removes the shuffle files of the write when it ends, since no later step reads them."""
+        path, kept = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if kept is None else self.spark.conf.set(CLEANUP, kept)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of steps that are written: its cleaner acts when the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
         jvm = self.spark._jvm
