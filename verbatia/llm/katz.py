@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from verbatia.llm.bytes_np import SPACED, U, Words, chunks, mix
 from verbatia.llm.work import Workspace, give_back
 
-PACK_BYTES = 8 << 20
+PACK_BYTES = 5 << 20
 DISCOUNTED = 5
 HOT = 256
-PART_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 END = mix(np.array([1], U) * U(0x9FB21C651E98DF25))[0]
 
 
@@ -210,6 +210,8 @@ def _add_grams(order: int, below):
             needs = np.minimum.reduceat(mine, np.cumsum(d) - d) == 0
             ask = np.flatnonzero((needs | (classes[head].sum(axis=1) == 0)) & (far == 0))
             out.append(_row(_SCHEMAS["told"], pack=k, part=part, totals=_dump(mine), open=_dump(ask, True), classes=_dump(classes[head[ask]].ravel()), seen=_dump(seen[head[ask]])))
+        del heads, slot, of, first, back, total, owner, own, under
+        give_back()
         return pa.Table.from_batches(out)
 
     return add
@@ -397,7 +399,8 @@ def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
                 p = _pack_of(x, model, k - 1)
                 p.deepen()
                 yield from p.asks(x["pack"])
-            give_back()
+                del p
+                give_back()
 
         told.append(ws.save(with_answers().mapInArrow(ask, _ASK).groupBy("part").applyInArrow(_add_grams(k, model.below(k)), _TOLD), f"order{k}"))
         model.d.append(discounts(total(told[-1], DISCOUNTED + 1)))
@@ -413,8 +416,9 @@ def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
             known = (p.word_totals > 0)[p.word_at].astype(np.int64)
             many = len(begin)
             cols = [pa.array(x["doc_id"], pa.int64()), pa.array(x["held_out"], pa.bool_()), pa.array(np.diff(p.begin)), pa.array(np.add.reduceat(known, begin)), pa.array(np.full(many, model.total, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(np.log10(p.p)[p.at], begin))]
+            del p, base, known
+            give_back()
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        give_back()
 
     out = with_answers().mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = ws.save(out, "scores")
