@@ -250,14 +250,14 @@ class Pack:
     def __init__(self, row: dict, model: Model):
         self.model = model
         self.begin = _load(row["begin"])
-        words, told = _load(row["words"], U), row["t1"]
+        words, told = _load(row.pop("words"), U), row.pop("t1")
         by_part, _ = _split(_word_parts(words, model.parts), model.parts)
         totals, ids = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         totals[by_part], ids[by_part] = _loads(t["totals"] for t in told), _loads(t["ids"] for t in told)
         order = np.argsort(ids)
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        self.word_at = rank[_load(row["at"])]
+        self.word_at = rank.astype(np.int32)[_load(row.pop("at"))]
         self.train = np.repeat(~np.array(row["held_out"], bool), np.diff(self.begin))
         self.ids = ids[order]
         #: Of the last order: the n-gram at each token, totals and numbers by n-gram, contexts' flags and counts by context.
@@ -267,17 +267,19 @@ class Pack:
 
     def deepen(self) -> None:
         """The distinct n-grams of the next order; the context after the last n-gram's place is the start."""
-        before = np.empty_like(self.at)
-        before[1:] = self.at[:-1]
-        before[self.begin[:-1]] = len(self.totals)
-        gram, first, at = np.unique(before << 32 | self.word_at, return_index=True, return_inverse=True)
-        context, self.word, self.lower = gram >> 32, gram & 0xFFFFFFFF, self.at[first]
+        gram = np.empty(len(self.at), np.int64)
+        gram[1:] = self.at[:-1]
+        gram[self.begin[:-1]] = len(self.totals)
+        gram <<= 32
+        gram |= self.word_at
+        gram, first, at = np.unique(gram, return_index=True, return_inverse=True)
+        context, self.word, self.lower = (gram >> 32).astype(np.int32), (gram & 0xFFFFFFFF).astype(np.int32), self.at[first]
+        at, many = at.astype(np.int32), len(gram)
+        del gram, first
         self.heads_below, self.whole_below, self.context_below = self.heads, self.whole, self.context
-        self.lower_totals = self.totals[self.lower]
         self.heads = np.append(self.totals, self.model.starts)
         self.head_numbers = np.vstack([self.numbers, np.zeros((1, self.numbers.shape[1]), np.int64)])
-        self.context, self.at, self.many = context, at, len(gram)
-        self.counts = np.bincount(at[self.train], minlength=len(gram))
+        self.context, self.at, self.many = context, at, many
         key = np.zeros(len(self.heads), U)
         for c in range(self.head_numbers.shape[1]):
             key = mix(key * U(31) + self.head_numbers[:, c].astype(U))
@@ -293,6 +295,7 @@ class Pack:
     def asks(self, pack: int):
         """A row for each partition that the pack has n-grams of."""
         lead_cut = np.searchsorted(self.lead, self.cut)
+        counts, lower_totals = np.bincount(self.at[self.train], minlength=self.many), self.totals[self.lower]
         base = self.heads_below[self.context_below[self.lower]] * 2 + self.whole_below[self.context_below[self.lower]]
         for b in np.flatnonzero(np.diff(self.cut)):
             own, lead = self.order[self.cut[b] : self.cut[b + 1]], self.lead[lead_cut[b] : lead_cut[b + 1]]
@@ -307,12 +310,12 @@ class Pack:
                 hot=_dump(self.hot[context].astype(np.int64)),
                 below=_dump(base[head]),
                 words=_dump(self.ids[self.word[own]]),
-                totals=_dump(self.lower_totals[own]),
-                counts=_dump(self.counts[own]),
+                totals=_dump(lower_totals[own]),
+                counts=_dump(counts[own]),
             )
 
-    def absorb(self, told: list[dict], order: int) -> None:
-        """Totals, probabilities and contexts of the order that ``deepen`` began, from the partitions' answers."""
+    def absorb(self, told: list[dict], order: int, last: bool = False) -> None:
+        """Totals, probabilities and contexts of the order that ``deepen`` began, from the partitions' answers; of the last order to be scored, probabilities only."""
         d, model = self.model.d[order - 1], self.model
         totals = np.empty(self.many, np.int64)
         totals[self.order] = _loads(t["totals"] for t in told)
@@ -332,22 +335,28 @@ class Pack:
         left = np.where(whole, 1 / (tokens + 1), sums[:, :DISCOUNTED] @ ((1 - d[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1)) / tokens)
         backoff = np.where(self.heads > 0, left / (1 - sums[:, DISCOUNTED]), 1.0)
         kept = np.where(whole, tokens / (tokens + 1), 1.0)
-        self.p = np.where(totals > 0, kept[self.context] * d[np.minimum(totals, DISCOUNTED + 1)] * totals / tokens[self.context], backoff[self.context] * self.p[self.lower])
+        p, live = backoff[self.context] * self.p[self.lower], np.flatnonzero(totals > 0)
+        at, seen = self.context[live], totals[live]
+        p[live] = kept[at] * d[np.minimum(seen, DISCOUNTED + 1)] * seen / tokens[at]
+        self.p = p
+        del self.order, self.lead, self.lower, sums, left, backoff, at, seen, live
+        if last:
+            return
         # By last word, then context: contexts of the next order that share their shorter context stand together in its rows.
-        by_word = np.argsort(self.word << 32 | self.context)
-        rank = np.empty_like(by_word)
+        by_word = np.argsort(self.word.astype(np.int64) << 32 | self.context)
+        rank = np.empty(len(by_word), np.int32)
         rank[by_word] = np.arange(len(by_word))
         self.numbers = np.column_stack([self.head_numbers[self.context], self.ids[self.word]])[by_word]
         self.at, self.p, self.context = rank[self.at], self.p[by_word], self.context[by_word]
         self.whole, self.totals = whole, totals[by_word]
 
 
-def _pack_of(row: dict, model: Model, order: int) -> Pack:
-    """A pack with the answers for all orders up to the given one."""
+def _pack_of(row: dict, model: Model, order: int, last: bool = False) -> Pack:
+    """A pack with the answers for all orders up to the given one; the row's answers are used up."""
     p = Pack(row, model)
     for k in range(2, order + 1):
         p.deepen()
-        p.absorb(row[f"t{k}"], k)
+        p.absorb(row.pop(f"t{k}"), k, last and k == order)
     return p
 
 
@@ -410,7 +419,7 @@ def _score(packs: DataFrame, ws: Workspace, order: int) -> DataFrame:
 
     def score(batches):
         for x in _each_row(batches):
-            p = _pack_of(x, model, order)
+            p = _pack_of(x, model, order, last=True)
             begin = p.begin[:-1]
             base = np.log10((p.word_totals + 1) / (model.total + model.kinds + 1))[p.word_at]
             known = (p.word_totals > 0)[p.word_at].astype(np.int64)
