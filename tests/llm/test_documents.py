@@ -82,6 +82,13 @@ def test_sketches_estimate_similarity(spark):
     assert all(said[i][1] for i in real if real[i] >= 0.8)
 
 
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.6, 0.7, 0.95])
+def test_most_bits_apart_are_where_the_estimate_passes(similarity):
+    most, bits, k = near_dedup.most_apart(similarity, 200), near_dedup.BITS, 200
+    said = [1 + bits / (4 * k) * math.log(1 - 2 * x / bits) for x in range(bits // 2)]
+    assert [x for x, s in enumerate(said) if s > similarity] == list(range(most + 1))
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)]

@@ -29,6 +29,8 @@ non-null id. Texts of any length pass whole. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,6 +61,11 @@ def estimate(samples: int) -> Column:
     return F.when(share > 0, F.lit(1.0) + F.log(share) * BITS / (4.0 * samples))
 
 
+def most_apart(similarity: float, samples: int) -> int:
+    """The most bits in which odd sketches may differ for the estimate, which falls with every bit, to be above a similarity."""
+    return math.ceil(BITS * (1 - math.exp(4 * samples * (similarity - 1) / BITS)) / 2) - 1
+
+
 def alike(threshold: int, samples: int) -> Column:
     """Whether sides a and b may be similar enough by their sizes and sketches; threshold in hundredths."""
     sizes = 100 * F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
@@ -68,7 +75,7 @@ def alike(threshold: int, samples: int) -> Column:
     most = F.when(F.col("a.level") == 0, differ).otherwise(sampled + DEVIATIONS * F.sqrt(sampled) + 1)
     # Samples of different levels (sizes on either side of a doubling) are not compared.
     bound = (F.col("a.level") != F.col("b.level")) | (_apart(_WHOLE) <= most)
-    return sizes & F.coalesce(estimate(samples) > threshold / 100 - SLACK, F.lit(False)) & bound
+    return sizes & (_apart(_SKETCH) <= most_apart(threshold / 100 - SLACK, samples)) & bound
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
