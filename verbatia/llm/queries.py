@@ -91,6 +91,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.spelling import count_words, misread, runs, spelling_groups
+
+    found = runs(_table(spark, sf_dir, "documents"))
+    words = count_words(found.select(misread(F.col("run"), F.col("doc_id")).alias("word")))
+    return spelling_groups(words, Workspace(spark, "spelling")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,5 +113,5 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op5_embeddings, op6_pieces, op7_katz, op8_language, op9_token_files, op10_decontaminate, op12_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op5_embeddings, op6_pieces, op7_katz, op8_language, op9_token_files, op10_decontaminate, op11_spelling, op12_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
