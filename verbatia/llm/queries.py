@@ -113,5 +113,28 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op5_embeddings, op6_pieces, op7_katz, op8_language, op9_token_files, op10_decontaminate, op11_spelling, op12_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbatia.llm.ranked_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_secrets, op4_repeats, op5_embeddings, op6_pieces, op7_katz, op8_language, op9_token_files, op10_decontaminate, op11_spelling, op12_byte_bpe, op13_ranked_search)}
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op13_ranked_search": f"""
+with terms as (select doc_id, unnest({TERMS}) as term from documents),
+asked as (select distinct item_id, unnest({TERMS}) as term from benchmark),
+lengths as (select doc_id, count(*) as n from terms group by doc_id),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as l from lengths),
+occurrences as (select doc_id, term, count(*) as tf from terms where term in (select term from asked) group by doc_id, term),
+weights as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from occurrences, totals group by term, docs),
+scores as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // l)))) as bigint) as score
+  from asked join weights using (term) join occurrences using (term) join lengths using (doc_id), totals
+  group by item_id, doc_id
+),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from scores where score > 0)
+select item_id, cast(place as integer) as rank, doc_id, score from ranked where place <= 50
+"""
+}
