@@ -136,11 +136,31 @@ def test_edit_scripts_are_least():
     r = random.Random(2)
     for _ in range(300):
         a, b = ([r.choice("abc") for _ in range(r.randint(0, 8))] for _ in range(2))
-        equal, sub, dele, ins = evaluate.edit_distance(a, b)
+        equal, sub, dele, ins = evaluate.edit_counts(a, b)
         assert sub + dele + ins == naive_distance(a, b)
         assert (equal + sub + dele, equal + sub + ins) == (len(a), len(b))
 
 
+def test_edit_scripts_prefer_diagonal_steps_then_deletions():
+    def back(a, b):
+        i, j, out = len(a), len(b), [0, 0, 0, 0]
+        while i or j:
+            here = naive_distance(a[:i], b[:j])
+            steps = [(i - 1, j - 1, int(a[i - 1] != b[j - 1]))] if i and j else []
+            steps += [(i - 1, j, 2)] if i else []
+            steps += [(i, j - 1, 3)] if j else []
+            i, j, kind = next(s for s in steps if naive_distance(a[: s[0]], b[: s[1]]) + (s[2] > 0) == here)
+            out[kind] += 1
+        return tuple(out)
+
+    r = random.Random(12)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 9))] for _ in range(2))
+        assert evaluate.edit_counts(a, b) == back(a, b)
+    long = [str(i % 97) for i in range(700)]
+    assert evaluate.edit_counts(long, long[:300] + ["x"] + long[301:]) == (699, 1, 0, 0)
+
+
 def test_near_words():
     assert fuzzy.near_word("reading", "readings") and not fuzzy.near_word("ab", "ab") and not fuzzy.near_word("stone", "water")
 

@@ -28,26 +28,39 @@ def nearest_rank(df: DataFrame, key: str, value: str, percents: tuple[int, ...]
     return ranked.groupBy(key).agg(*[F.max(F.when(F.col("r") == at(p), F.col(value))).alias(f"p{p}") for p in percents])
 
 
-def edit_distance(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
-    """(equal, substituted, deleted, inserted) of a least edit script; a diagonal step is taken before a deletion, that before an insertion."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(rows[-1][j - 1] + (x != y), rows[-1][j] + 1, row[-1] + 1))
-        rows.append(row)
-    i, j, counts = len(a), len(b), [0, 0, 0, 0]
-    while i or j:
-        here = rows[i][j]
-        if i and j and here == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            counts[int(a[i - 1] != b[j - 1])] += 1
-            i, j = i - 1, j - 1
-        elif i and here == rows[i - 1][j] + 1:
-            counts[2] += 1
-            i -= 1
+def distance_columns(truth: list[str], text: list[str]) -> list[tuple[int, int]]:
+    """For each word of ``text``, bit vectors over the words of ``truth``: where the distance grows downwards, and where it is that of the field diagonally before.
+
+    Neighbouring fields of the distance table differ by one at most, so a whole column is a few operations on integers
+    with one bit a word (Myers, in the form of Hyyro).
+    """
+    every, where = (1 << len(truth)) - 1, {}
+    for i, word in enumerate(truth):
+        where[word] = where.get(word, 0) | 1 << i
+    grows, shrinks, out = every, 0, []
+    for word in text:
+        same = where.get(word, 0)
+        level = (((same & grows) + grows) ^ grows) | same | shrinks
+        # Steps to the right, moved one word down: the row above all words grows with every column.
+        right, left = (shrinks | ~(level | grows)) << 1 | 1, (grows & level) << 1
+        grows, shrinks = (left | ~(level | right)) & every, right & level & every
+        out.append((grows, level))
+    return out
+
+
+def edit_counts(truth: list[str], text: list[str]) -> tuple[int, int, int, int]:
+    """(equal, substituted, deleted, inserted) of a least edit script; from the end a diagonal step is preferred, then a deletion."""
+    columns, counts, i, j = distance_columns(truth, text), [0, 0, 0, 0], len(truth), len(text)
+    while i and j:
+        (grows, level), same = columns[j - 1], truth[i - 1] == text[j - 1]
+        if same or not level >> (i - 1) & 1:
+            kind = 0 if same else 1
         else:
-            counts[3] += 1
-            j -= 1
+            kind = 2 if grows >> (i - 1) & 1 else 3
+        counts[kind] += 1
+        i, j = i - (kind != 3), j - (kind != 2)
+    counts[2] += i
+    counts[3] += j
     return tuple(counts)
 
 
@@ -55,6 +68,6 @@ def word_errors(pairs: DataFrame, truth: str, text: str) -> DataFrame:
     """All columns, and a struct ``words`` of equal, substituted, deleted and inserted words; a null text misses every word."""
 
     def count(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([edit_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b)], columns=["equal", "substituted", "deleted", "inserted"])
+        return pd.DataFrame([edit_counts((x or "").split(), (y or "").split()) for x, y in zip(a, b)], columns=["equal", "substituted", "deleted", "inserted"])
 
     return pairs.withColumn("words", F.pandas_udf(count, "equal int, substituted int, deleted int, inserted int")(F.col(truth), F.col(text)))

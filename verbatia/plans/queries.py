@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -352,11 +352,16 @@ def near_words(spark, sf):
     return fuzzy.near_words(fuzzy.near_candidates(_corpus(spark, sf).vocab))
 
 
+def _damaged(text: str) -> Column:
+    out = F.regexp_replace(text, r"\bthe\b ?", "")
+    return F.regexp_replace(F.regexp_replace(out, r"\band\b", "ant"), r"\bof\b", "of of")
+
+
 @query
 def word_errors(spark, sf):
+    """Edit counts of a damaged copy of every item: words left out, misread and doubled."""
     b = _table(spark, sf, "benchmark")
-    pairs = b.select("item_id", "text", F.regexp_replace("text", r"\bthe\b ?", "").alias("read"))
-    return evaluate.word_errors(pairs, "text", "read").select("item_id", "words.*")
+    return evaluate.word_errors(b.select("item_id", "text", _damaged("text").alias("read")), "text", "read").select("item_id", "words.*")
 
 
 @query
@@ -404,7 +409,7 @@ def word_completion(spark, sf):
 def pooled_error_rates(spark, sf):
     """Word error counts of a damaged copy of every item, pooled over all and by length class; a missing page misses all words."""
     b = _table(spark, sf, "benchmark").withColumn("kind", F.when(F.length("text") < 220, "short").otherwise("long"))
-    read = b.filter("item_id % 10 <> 9").select("item_id", F.regexp_replace("text", r"\bthe\b ?", "").alias("read"))
+    read = b.filter("item_id % 10 <> 9").select("item_id", _damaged("text").alias("read"))
     e = evaluate.word_errors(b.join(read, "item_id", "left"), "text", "read")
     c = e.select("kind", F.col("words.equal").alias("ok"), (F.col("words.substituted") + F.col("words.deleted") + F.col("words.inserted")).alias("wrong"), (F.col("words.equal") + F.col("words.substituted") + F.col("words.deleted")).alias("n"))
     return c.groupingSets([[], [F.col("kind")]], "kind").agg(F.sum("n").alias("n_words"), F.sum("wrong").alias("n_wrong"), evaluate.rate(F.sum("wrong"), F.sum("n")).alias("wer"))

@@ -81,7 +81,38 @@ MARKED = r'"[^"\n]{1,1000}"|«[^»\n]{1,1000}»|\{[^}\n]{1,1000}\}'
 NUMERIC = r"[0-9]{1,3}[:.][0-9]{1,3}(?:-[0-9]{1,3})?"
 EPOCH = "epoch_us(ts) / 1000000.0"
 
+def edit_counts(pairs: str) -> str:
+    """Least edit scripts of ``pairs`` (item_id, a, b: lists of words): tables of distances row by row, then the way back."""
+    return f"""{pairs},
+dist as (
+  select item_id, 0 as i, cast(range(0, len(b) + 1) as bigint[]) as line, a, b from pairs
+  union all
+  select item_id, i + 1, [list_min(least_to[1:j + 1]) + j for j in range(0, len(b) + 1)], a, b
+  from (select *, list_concat([cast(i + 1 as bigint)], [least(line[j] + case when a[i + 1] = b[j] then 0 else 1 end, line[j + 1] + 1) - j for j in range(1, len(b) + 1)]) as least_to
+        from dist where i < len(a)) x),
+tables as (select item_id, a, b, list(line order by i) as d from dist group by item_id, a, b),
+back as (
+  select item_id, cast(len(a) as bigint) as i, cast(len(b) as bigint) as j, 0 as equal, 0 as substituted, 0 as deleted, 0 as inserted from tables
+  union all
+  select item_id, i - case when k < 3 then 1 else 0 end, j - case when k <> 2 then 1 else 0 end,
+         equal + case when k = 0 then 1 else 0 end, substituted + case when k = 1 then 1 else 0 end, deleted + case when k = 2 then 1 else 0 end, inserted + case when k = 3 then 1 else 0 end
+  from (select w.*, case when i > 0 and j > 0 and d[i + 1][j + 1] = d[i][j] + case when a[i] = b[j] then 0 else 1 end then case when a[i] = b[j] then 0 else 1 end
+                         when i > 0 and d[i + 1][j + 1] = d[i][j + 1] + 1 then 2 else 3 end as k
+        from back w join tables t using (item_id) where i > 0 or j > 0) x),
+scripts as (select item_id, equal, substituted, deleted, inserted from back where i = 0 and j = 0)"""
+
+
+DAMAGED = r"regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b ?', '', 'g'), '\band\b', 'ant', 'g'), '\bof\b', 'of of', 'g')"
+READ = rf"regexp_extract_all({DAMAGED}, '\S+')"
+SAID = r"regexp_extract_all(text, '\S+')"
+
 ORACLE: dict[str, str] = {
+    "word_errors": f"with recursive {edit_counts(f'pairs as (select item_id, {SAID} as a, {READ} as b from benchmark)')} select * from scripts",
+    "pooled_error_rates": f"""with recursive {edit_counts(f"pairs as (select item_id, {SAID} as a, case when item_id % 10 <> 9 then {READ} else [] end as b from benchmark)")},
+e as (select case when length(text) < 220 then 'short' else 'long' end as kind, s.* from scripts s join benchmark using (item_id))
+select kind, cast(sum(equal + substituted + deleted) as bigint) as n_words, cast(sum(substituted + deleted + inserted) as bigint) as n_wrong,
+       round(sum(substituted + deleted + inserted) / sum(equal + substituted + deleted), 6) as wer
+from e group by grouping sets ((), (kind))""",
     "token_stats": f"with {DOC} select d.lang, count(*) as n_tokens, count(distinct fold) as n_distinct from dtok t join documents d using (doc_id) group by d.lang",
     "vocab_idf": f"with {CORPUS} select fold, df, round(idf, 6) as idf from vocab",
     "unit_bounds": f"with {CORPUS} select work, cast(unit as bigint) as unit, p0, p1 from bounds",
