@@ -8,9 +8,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from verbatia.plans import findings, findings_sql, queries, sql
+from verbatia.plans import findings, findings_sql, queries, rules, sql
 
-QUERIES, ORACLE = queries.QUERIES | findings.QUERIES, sql.ORACLE | findings_sql.ORACLE
+QUERIES, ORACLE = queries.QUERIES | findings.QUERIES | rules.QUERIES, sql.ORACLE | findings_sql.ORACLE | rules.ORACLE
 DATA = Path("/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
