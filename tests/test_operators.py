@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatia.functions.normalize import ARABIC, GENERIC, clean_text, scrub
-from verbatia.operators import approximate, citations, corpus, edits, evaluate, extract, fuzzy, intervals, phrases, verify
+from verbatia.operators import citations, corpus, edits, evaluate, extract, fuzzy, intervals, phrases, verify
 from verbatia.operators.tokens import tokenize, tokenize_with_offsets
 from verbatia.plans import audit
 from verbatia.sources import files
@@ -254,21 +254,6 @@ def test_proposals(spark):
     assert [(r.id, r.quote, r.reference_text) for r in got] == [("a", "q", "r")]
 
 
-def test_alignments_stay_within_the_budget():
-    r = random.Random(9)
-    for _ in range(200):
-        a = [r.choice("abcdefgh") * 3 for _ in range(12)]
-        b = list(a)
-        for _ in range(r.randint(0, 3)):
-            b[r.randrange(len(b))] = "zzz"
-        edits, left, right = approximate.stretch((a[:4][::-1], b[:4][::-1]), (a[6:], b[6:]), 2)
-        assert edits <= 2
-        for side, x, y in ((left, a[:4][::-1], b[:4][::-1]), (right, a[6:], b[6:])):
-            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(side, side[1:]))
-            assert all(x[i] == y[j] or fuzzy.near_word(x[i], y[j]) for i, j in side)
-    assert approximate.stretch(([], []), (["one", "two", "three"], ["one", "xx", "three"]), 2)[2] == [(0, 0), (2, 2)]
-
-
 def test_quotations_and_citations(spark):
     works = spark.createDataFrame([(1, "alpha beta gamma delta. one two three four"), (2, "one two three five")], "item_id long, text string")
     c = corpus.build_corpus(works)

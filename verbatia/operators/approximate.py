@@ -1,97 +1,220 @@
-"""Approximate phrases: runs around a rare shared pair of words, with a few words changed, put in or left out."""
+"""Approximate phrases by seed and extend: runs around a rare shared word, with a few words changed, put in or left out.
+
+Every rare word that a document shares with a work is a seed. From a seed the match goes on word by word to the left, then to the
+right, over equal and near words; where it stops, a word may be replaced, be extra in the document or be left out (also two at once), if
+the words behind that match. Edges are then trimmed: near words at the edge of a weak match, and what lies beyond an edit without
+two words, or one rare exact word, to support it. What an alignment covers, as places on its diagonals, is not aligned again, so
+that work grows with the words that are met and not with the seeds on them. Alignments end at the marks that end a segment.
+
+A document is one row of arrays made from its text, and tasks search it against a block of works of bounded size; larger
+corpora are searched block after block, since works cover their places each for itself. No step is capped.
+
+Cases: null and empty texts have no row. Repeated documents are searched each. Empty corpora give no rows.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import functools
+import math
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatia.operators.corpus import Corpus
+from verbatia.functions.normalize import GENERIC, Profile
+from verbatia.operators.corpus import BROADCAST_TOKENS, Corpus
 from verbatia.operators.fuzzy import near_word
 from verbatia.operators.phrases import Thresholds
 
-
-def furthest(a: list[str], b: list[str], budget: int) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
-    """For every number of edits up to the budget, the longest prefix alignment of a and b: (edits, i, j, matched pairs).
-
-    Furthest-reaching points by diagonal: after e edits each diagonal keeps the point with most words matched.
-    """
-
-    def slide(i: int, j: int, met: tuple) -> tuple[int, int, tuple]:
-        while i < len(a) and j < len(b) and (a[i] == b[j] or near_word(a[i], b[j])):
-            met += ((i, j),)
-            i, j = i + 1, j + 1
-        return i, j, met
-
-    front = {0: slide(0, 0, ())}
-    best = [(0, *front[0])]
-    for edits in range(1, budget + 1):
-        following: dict[int, tuple[int, int, tuple]] = {}
-        for i, j, met in front.values():
-            for di, dj in ((1, 1), (1, 0), (0, 1)):
-                if i + di <= len(a) and j + dj <= len(b):
-                    got = slide(i + di, j + dj, met)
-                    diagonal = got[0] - got[1]
-                    if diagonal not in following or len(got[2]) > len(following[diagonal][2]):
-                        following[diagonal] = got
-        if not following:
+#: Words skipped in the document and in the work, and what that costs: replaced, extra, left out, two left out. The first that fits is taken.
+EDITS = ((1, 1, 1), (1, 0, 1), (0, 1, 1), (0, 2, 2))
+
+
+@functools.lru_cache(1 << 18)
+def letters(word: str) -> int:
+    """The word's letters as a set of bits; two letters may share one."""
+    out = 0
+    for x in word:
+        out |= 1 << (ord(x) & 63)
+    return out
+
+
+@functools.lru_cache(1 << 16)
+def close(a: str, b: str) -> bool:
+    return near_word(a, b)
+
+
+def near(a: str, b: str) -> bool:
+    """``near_word``; most pairs fail by length or by letters that the shorter word has alone, of which one is allowed."""
+    n, m = len(a), len(b)
+    if n < 3 or m < 3 or not -4 < n - m < 4:
+        return False
+    x, y = (letters(a), letters(b)) if n <= m else (letters(b), letters(a))
+    return (x & ~y).bit_count() <= 1 and close(a, b)
+
+
+class Pair(NamedTuple):
+    """A word of the document on a word of the work; ``exact`` or near."""
+
+    tok: int
+    pos: int
+    exact: bool
+
+
+class Works:
+    """A block of works: their words, the places of rare words, and rarity."""
+
+    def __init__(self, streams: dict, idf: dict[str, float], seeds: set[str]):
+        self.streams, self.idf = streams, idf
+        self.places: dict[str, list[tuple]] = {}
+        for work in sorted(streams):
+            for pos, word in enumerate(streams[work]):
+                if word in seeds:
+                    self.places.setdefault(word, []).append((work, pos))
+
+
+def walk(words: list[str], stream: list[str], tok: int, pos: int, step: int, lo: int, hi: int, budget: int) -> tuple[list[Pair], int]:
+    """Pairs met from the pair (tok, pos) in one direction within lo to hi, and the edits used."""
+    out: list[Pair] = []
+    n, used = len(stream), 0
+
+    def meet(t: int, p: int) -> Pair | None:
+        if not (lo <= t < hi and 0 <= p < n):
+            return None
+        a, b = words[t], stream[p]
+        return Pair(t, p, True) if a == b else Pair(t, p, False) if near(a, b) else None
+
+    t, p = tok + step, pos + step
+    while lo <= t < hi and 0 <= p < n:
+        found = meet(t, p)
+        if found is None:
+            for dt, dp, cost in EDITS:
+                if used + cost <= budget and (found := meet(t + dt * step, p + dp * step)):
+                    used += cost
+                    break
+            else:
+                break
+        out.append(found)
+        t, p = found.tok + step, found.pos + step
+    return out, used
+
+
+def settled(pairs: list[Pair], rare, leads: frozenset[str], words: list[str], rounds: int = 3) -> list[Pair]:
+    """The pairs without edges that nothing supports; dropping one edge may lay open another."""
+
+    def unsupported(block: list[Pair]) -> bool:
+        return len(block) == 1 and not (block[0].exact and rare(block[0]))
+
+    for _ in range(rounds):
+        blocks: list[list[Pair]] = []
+        for pair in pairs:
+            joined = blocks and pair.tok - blocks[-1][-1].tok == pair.pos - blocks[-1][-1].pos == 1
+            blocks[-1].append(pair) if joined else blocks.append([pair])
+        for end in (0, -1):
+            while len(blocks) > 1 and unsupported(blocks[end]):
+                blocks.pop(end)
+        kept = [p for b in blocks for p in b]
+        weak = sum(p.exact for p in kept) < 3
+        for end in (0, -1):
+            while kept and not kept[end].exact and (weak or words[kept[end].tok] in leads):
+                kept.pop(end)
+        if len(kept) == len(pairs):
             break
-        front = following
-        top = max(front.values(), key=lambda x: (len(x[2]), -abs(x[0] - x[1])))
-        best.append((edits, *top))
-    return [(e, i, j, list(met)) for e, i, j, met in best]
-
-
-def stretch(left: tuple[list[str], list[str]], right: tuple[list[str], list[str]], budget: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
-    """Edits and matched pairs on both sides of a seed: the split of the budget that matches most words."""
-    options = [
-        (len(lm) + len(rm), -(le + re), le + re, lm, rm)
-        for le, *_, lm in furthest(*left, budget)
-        for re, *_, rm in furthest(*right, budget - le)
-    ]
-    _, _, edits, lm, rm = max(options, key=lambda x: x[:2])
-    return edits, lm, rm
-
-
-def approximate_runs(tokens: DataFrame, corpus: Corpus, bars: Thresholds = Thresholds(), reach: int = 24) -> DataFrame:
-    """(doc_id, work, d0, d1, b0, b1, exact, near, edits): alignments with a near word or an edit, best of each document's place.
-
-    Seeds are pairs of neighbours with a rare word that document and work share. Each seed carries the
-    ``reach`` words on either side, so that one row is aligned without its document.
-    """
-    rare = corpus.vocab.filter(F.col("df") <= bars.seed_df).select("fold")
-    pairs = corpus.pairs
-    seeds = pairs.join(rare, "fold", "left_semi").unionByName(pairs.join(rare.withColumnRenamed("fold", "next_fold"), "next_fold", "left_semi")).distinct()
-
-    def sided(df: DataFrame, key: str, at: str) -> DataFrame:
-        line = W.partitionBy(key).orderBy(at)
-        return df.select(
-            key, at, "fold", F.lead("fold").over(line).alias("next_fold"), F.reverse(F.collect_list("fold").over(line.rowsBetween(-reach, -1))).alias("before"), F.collect_list("fold").over(line.rowsBetween(2, reach + 1)).alias("after")
-        )
-
-    works = sided(corpus.tokens, "work", "pos").select("work", "pos", F.col("before").alias("b_before"), F.col("after").alias("b_after"))
-    known = seeds.select("fold", "next_fold", "work", "pos").join(works, ["work", "pos"])
-    met = sided(tokens, "doc_id", "tok").join(corpus.small(known), ["fold", "next_fold"])
-    # Of the seeds of one diagonal and stretch of text only the first is aligned.
-    first = F.row_number().over(W.partitionBy("doc_id", "work", F.col("tok") - F.col("pos"), F.floor(F.col("tok") / reach)).orderBy("tok"))
-    met = met.withColumn("n", first).filter("n = 1")
-
-    def align(before: pd.Series, b_before: pd.Series, after: pd.Series, b_after: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y, u, v in zip(before, b_before, after, b_after):
-            x, y, u, v = list(x), list(y), list(u), list(v)
-            edits, lm, rm = stretch((x, y), (u, v), bars.max_edits)
-            exact = 2 + sum(x[i] == y[j] for i, j in lm) + sum(u[i] == v[j] for i, j in rm)
-            used = (max((i for i, _ in lm), default=-1) + 1, max((j for _, j in lm), default=-1) + 1, max((i for i, _ in rm), default=-1) + 3, max((j for _, j in rm), default=-1) + 3)
-            # Edits that lie beyond the last matched word on a side are not part of the alignment.
-            gaps = sum(max(b[0] - a[0], b[1] - a[1]) - 1 for side in ([(-1, -1), *lm], [(-1, -1), *rm]) for a, b in zip(side, side[1:]))
-            out.append((*used, exact, 2 + len(lm) + len(rm) - exact, gaps))
-        return pd.DataFrame(out, columns=["l", "lb", "r", "rb", "exact", "near", "edits"])
-
-    kinds = ", ".join(f"{c} long" for c in ("l", "lb", "r", "rb", "exact", "near", "edits"))
-    got = met.withColumn("a", F.pandas_udf(align, kinds)("before", "b_before", "after", "b_after"))
-    got = got.select("doc_id", "work", (F.col("tok") - F.col("a.l")).alias("d0"), (F.col("tok") + F.col("a.r") - 1).alias("d1"), (F.col("pos") - F.col("a.lb")).alias("b0"), (F.col("pos") + F.col("a.rb") - 1).alias("b1"), "a.exact", "a.near", "a.edits")
-    n = F.col("exact") + F.col("near")
-    good = got.filter((F.col("near") + F.col("edits") > 0) & (F.col("exact") >= 2) & (n >= 4) & (F.col("edits") <= bars.max_edits) & (2 * F.col("edits") <= n))
-    return good.dropDuplicates(["doc_id", "work", "d0", "d1", "b0", "b1"])
+        pairs = kept
+    return pairs
+
+
+def align(words: list[str], starts: list[int], works: Works, max_edits: int = 2, anchor: float = 5.0, leads: frozenset[str] = frozenset()) -> Iterator[tuple]:
+    """(work, d0, d1, b0, b1, exact, near, edits, mass) of every alignment of a document whose segments begin at ``starts``."""
+    #: Covered places by work and diagonal.
+    covered: dict[tuple, set[int]] = {}
+    for lo, hi in zip(starts, [*starts[1:], len(words)]):
+        for tok in range(lo, hi):
+            for work, pos in works.places.get(words[tok], ()):
+                if pos in covered.get((work, tok - pos), ()):
+                    continue
+                stream = works.streams[work]
+                left, used = walk(words, stream, tok, pos, -1, lo, hi, max_edits)
+                right, _ = walk(words, stream, tok, pos, 1, lo, hi, max_edits - used)
+                if len(left) + len(right) < 2:
+                    continue
+                pairs = settled([*left[::-1], Pair(tok, pos, True), *right], lambda p: works.idf[stream[p.pos]] >= anchor, leads, words)
+                for p in pairs:
+                    covered.setdefault((work, p.tok - p.pos), set()).add(p.pos)
+                if pairs:
+                    exact = sum(p.exact for p in pairs)
+                    edits = sum(max(b.tok - a.tok, b.pos - a.pos) - 1 for a, b in zip(pairs, pairs[1:]))
+                    mass = math.fsum(works.idf[stream[p.pos]] * (1.0 if p.exact else 0.5) for p in pairs)
+                    yield work, pairs[0].tok, pairs[-1].tok + 1, pairs[0].pos, pairs[-1].pos + 1, exact, len(pairs) - exact, edits, round(mass, 6)
+
+
+def document_rows(docs: DataFrame, text: str = "text", profile: Profile = GENERIC, allowed: str = r"\A[ \t,;]*\z", key: str = "doc_id") -> DataFrame:
+    """(key, words, starts): the folded words of each text, and the first words of its segments, as arrays; texts without words are left out."""
+    raw, gaps = F.regexp_extract_all(F.col(text), F.lit(profile.token), F.lit(0)), F.split(F.col(text), profile.token)
+    rows = docs.filter(F.regexp_count(F.col(text), F.lit(profile.token)) > 0).select(key, raw.alias("raw"), gaps.alias("gaps"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: (i == 0) | ~F.element_at("gaps", i + 1).rlike(allowed))
+    if profile.name == "generic":
+        return rows.select(key, F.transform("raw", F.lower).alias("words"), starts.alias("starts"))
+    # Other profiles fold a word by a Pandas UDF: the distinct words are folded, and each document's are looked up.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    each = rows.select(key, "row", starts.alias("starts"), F.posexplode("raw").alias("i", "word"))
+    folds = each.select("word").distinct().withColumn("fold", profile.folded(F.col("word")))
+    return each.join(folds, "word").groupBy(key, "row", "starts").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "fold"))), lambda x: x["fold"]).alias("words")).select(key, "words", "starts")
+
+
+def _blocks(corpus: Corpus, bars: Thresholds) -> Iterator[Works]:
+    """The works in blocks of about ``BROADCAST_TOKENS`` words."""
+    blocks = max(1, math.ceil(corpus.size / BROADCAST_TOKENS))
+    tokens = corpus.tokens.join(corpus.vocab, "fold").withColumn("block", F.pmod(F.xxhash64(F.col("work").cast("string")), F.lit(blocks)))
+    for block in range(blocks):
+        streams: dict = {}
+        idf: dict[str, float] = {}
+        seeds: set[str] = set()
+        for r in tokens.filter(F.col("block") == block).select("work", "pos", "fold", "idf", "df").orderBy("work", "pos").toLocalIterator():
+            streams.setdefault(r.work, []).append(r.fold)
+            idf[r.fold] = r.idf
+            if r.df <= bars.seed_df:
+                seeds.add(r.fold)
+        yield Works(streams, idf, seeds)
+
+
+def alignments(rows: DataFrame, corpus: Corpus, bars: Thresholds = Thresholds(), leads: frozenset[str] = frozenset(), key: str = "doc_id") -> DataFrame:
+    """(key, work, d0, d1, b0, b1, exact, near, edits, mass): all alignments of documents (rows of ``document_rows``), before any bar."""
+    spark, kinds = rows.sparkSession, {f.name: f.dataType.simpleString() for f in corpus.tokens.schema}
+    names = ("work", "d0", "d1", "b0", "b1", "exact", "near", "edits", "mass")
+    ddl = f"{key} {rows.schema[key].dataType.simpleString()}, work {kinds['work']}, " + ", ".join(f"{c} long" for c in names[1:8]) + ", mass double"
+    out = None
+    for works in _blocks(corpus, bars):
+        shared = spark.sparkContext.broadcast(works)
+
+        def run(batches, shared=shared):
+            works = shared.value
+            for batch in batches:
+                found: list[tuple] = []
+                for name, words, starts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    found += [(name, *a) for a in align(words, starts, works, bars.max_edits, bars.anchor_idf, leads)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], [key, *names])
+            close.cache_clear()
+            letters.cache_clear()
+
+        got = rows.select(key, "words", "starts").mapInArrow(run, ddl)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def accepted(bars: Thresholds = Thresholds()) -> Column:
+    """Alignments that are reported: exact ones of enough words, others of enough words and mass for their edits."""
+    exact, others, edits = F.col("exact"), F.col("near"), F.col("edits")
+    n = exact + others
+    whole = (others == 0) & (edits == 0) & (exact >= bars.min_words)
+    part = (others + edits > 0) & (exact >= 2) & (n >= bars.approx_words) & (edits <= bars.max_edits) & (2 * edits <= n) & (F.col("mass") >= bars.approx_mass)
+    return whole | part
+
+
+def approximate_runs(docs: DataFrame, corpus: Corpus, bars: Thresholds = Thresholds(), leads: frozenset[str] = frozenset(), text: str = "text", profile: Profile = GENERIC) -> DataFrame:
+    """The accepted alignments of texts (doc_id, text) that are not exact."""
+    found = alignments(document_rows(docs, text, profile), corpus, bars, leads)
+    return found.filter(accepted(bars) & (F.col("near") + F.col("edits") > 0))

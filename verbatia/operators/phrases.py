@@ -21,13 +21,15 @@ class Thresholds:
     mass_candidate: float = 12.0
     mass_common: float = 9.0
     approx_mass: float = 8.0
+    approx_words: int = 4
+    anchor_idf: float = 3.0
     max_edits: int = 2
     pair_units: int = 4
     pair_rare_zipf: float = 4.5
     pair_other_zipf: float = 6.0
 
 
-LARGE = Thresholds(seed_df=300, mass_floor=12.0, mass_candidate=20.0, mass_common=16.0, approx_mass=16.0, pair_rare_zipf=3.2)
+LARGE = Thresholds(seed_df=300, mass_floor=12.0, mass_candidate=20.0, mass_common=16.0, approx_mass=16.0, anchor_idf=5.0, pair_rare_zipf=3.2)
 
 
 def exact_runs(tokens: DataFrame, corpus: Corpus, bars: Thresholds = Thresholds()) -> DataFrame:

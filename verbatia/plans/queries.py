@@ -386,7 +386,7 @@ def verify_quotes(spark, sf):
 
 @query
 def approximate_runs(spark, sf):
-    return approximate.approximate_runs(_tokens(spark, sf).select("doc_id", "tok", "fold"), _corpus(spark, sf))
+    return approximate.approximate_runs(_docs(spark, sf), _corpus(spark, sf))
 
 
 @query
