@@ -21,6 +21,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,11 @@ TRAINING_PAGES = 600
 ROUNDS = 160
 MAIN = 1
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
+#: From "<": a comment or the like, or a tag's name. What follows a name up to ">" outside quotation marks; a mark without its fellow is a character.
+OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)", re.S)
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
+#: Elements nested deeper than this are read as siblings of the innermost ones.
+DEPTH = 512
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Element names of the markup language by their role here.
 RAW = frozenset("script style noscript template textarea title svg iframe select head".split())
@@ -40,14 +45,39 @@ END_TAG = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])[^>]*>?", re.I | re.A) f
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow mtext msup msub msubsup mfrac msqrt mroot mover munder munderover semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Drawings and menus of choices that are left open end where such an element starts.
+LEFT_OPEN = frozenset(("svg", "select"))
 LIST_ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+class Tags:
+    """The tags of a page from left to right, in time that grows with the page."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the first tag from a place on; comments have no name. A tag that never closes ends with the page."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if m := OPEN.match(page, at):
+                if not m[2]:
+                    return at, m.end(), False, "", ""
+                if self.quoted and (rest := REST.match(page, m.end())):
+                    return at, rest.end(), bool(m[1]), m[2].lower(), rest[1]
+                # Marks that hide every ">" up to the end of the page are taken for characters, here and from now on.
+                self.quoted = False
+                end = page.find(">", m.end())
+                return at, end + 1 if end >= 0 else len(page), bool(m[1]), m[2].lower() if end >= 0 else "", page[m.end() : max(end, m.end())]
+            at += 1
+        return None
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters inside links) of each leaf block; the path has the ancestors' features."""
     out, stack, parts, links, at, raw, nested = [], [], [], 0, 0, "", 0
-    path: tuple[str, ...] = ()
-    linked = 0
+    linked, deep = 0, Counter()
+    tags = Tags(page)
 
     def flush() -> None:
         nonlocal links
@@ -56,45 +86,50 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             text = html.unescape(text)
         text = " ".join(text.split())
         if text:
-            out.append((text, path, links))
+            out.append((text, tuple(f for _, own in stack for f in own), links))
         parts.clear()
         links = 0
 
     def pop(to: int) -> None:
-        nonlocal path, linked
+        nonlocal linked
         if any(name not in INLINE for name, _ in stack[to:]):
             flush()
+        linked -= sum(name == "a" for name, _ in stack[to:])
         del stack[to:]
-        path = tuple(f for _, own in stack for f in own)
-        linked = sum(name == "a" for name, _ in stack)
 
-    while m := TAG.search(page, at):
-        if not raw and m.start() > at:
-            text = page[at : m.start()]
+    while tag := tags.next(at):
+        start, end, closing, name, rest = tag
+        if not raw and start > at:
+            text = page[at:start]
             parts.append(text)
             if linked:
                 links += len(text)
-        at = m.end()
-        name = (m.group(2) or "").lower()
+        at = end
         if not name:
             continue
-        closing = bool(m.group(1))
-        if name in RAW_TEXT and not closing and not m.group(3).endswith("/"):
-            end = END_TAG[name].search(page, at)
-            at = end.end() if end else len(page)
+        if name in RAW_TEXT and not closing and not rest.endswith("/"):
+            found = END_TAG[name].search(page, at)
+            at = found.end() if found else len(page)
             continue
+        if raw in LEFT_OPEN and not closing and name in CLOSES_P:
+            raw = ""
         if raw:
-            if name == raw and (closing or not m.group(3).endswith("/")):
+            if name == raw and (closing or not rest.endswith("/")):
                 nested += -1 if closing else 1
                 raw = raw if nested else ""
             continue
         if name in RAW:
-            if not closing and not m.group(3).endswith("/"):
+            if not closing and not rest.endswith("/"):
                 if name == "head":
                     continue
                 raw, nested = name, 1
             continue
         if closing:
+            if deep[name]:
+                deep[name] -= 1
+                if name not in INLINE:
+                    flush()
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     pop(i)
@@ -114,17 +149,18 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                     break
         elif name == "br":
             parts.append(" ")
-        if name in VOID or m.group(3).endswith("/"):
+        if name in VOID or rest.endswith("/"):
+            continue
+        if len(stack) >= DEPTH:
+            deep[name] += 1
             continue
         own = [] if name in INLINE else ["t=" + name]
-        for x in ATTRIBUTE.finditer(m.group(3)):
+        for x in ATTRIBUTE.finditer(rest):
             own += ["w=" + w for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", x[2] or x[3] or x[4] or "").lower())]
         stack.append((name, tuple(own)))
-        path += tuple(own)
         linked += name == "a"
     if not raw and at < len(page):
-        tail = page[at:]
-        parts.append(re.sub(r"<[A-Za-z/!?][^>]*\Z", "", tail))
+        parts.append(re.sub(r"<[A-Za-z/!?][^>]*\Z", "", page[at:]))
     flush()
     return out
 
@@ -232,6 +268,9 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
     for _ in range(r.randint(0, 2)):
         page += extra("ad", "sidebar", "form", "notice", "share")
     open_, close = r.choice((("<article>", "</article>"),) * 4 + (("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="content">', "</div>"), ('<div class="post-body">', "</div>"), ('<section class="entry-content">', "</section>"), ('<div id="main"><div class="article">', "</div></div>"), ('<div class="story">', "</div>"), ('<div role="main">', "</div>")))
+    if r.random() < 0.3:
+        # Articles in elements that say nothing, or in none.
+        open_, close = r.choice((("<section>", "</section>"), ("<div>", "</div>"), ("<div>", "</div>"), ("", ""), ("", ""), ("<table><tr><td>", "</td></tr></table>"), ('<div class="wrapper">', "</div>"), ('<div class="container"><div class="row">', "</div></div>"), ('<div id="page"><div>', "</div></div>")))
     page += open_
     if r.random() < 0.8:
         title = f"<h1>{say(1, 12, 1, r.choice(('', '.')))}</h1>"
