@@ -287,3 +287,11 @@ def test_named_citations_and_their_quotations(spark):
     spans = [(1, text.index(q), text.index(q) + len(q)) for q in ("one two three", "four five six")]
     attached = citations.attach_references(spark.createDataFrame(spans, "doc_id long, s long, e long"), refs.filter("problem <> 'out_of_range'"))
     assert [text[r.ref_s : r.ref_e][-3:] for r in attached.orderBy("s").collect()] == ["f 3", "2-1"]
+
+
+def test_the_limiter_takes_keys_of_any_type(spark):
+    rows = [("audit|10.0.0.1", f"e{i}", i * 10) for i in range(8)] + [("audit|10.0.0.2", "x", 5), (None, "y", 5)]
+    events = spark.createDataFrame(rows, "client string, id string, at long").selectExpr("client", "id", "timestamp_seconds(at) as ts")
+    got = state.rate_limit(events, limit=3, key="client", event_id="id")
+    assert got.dtypes == [("client", "string"), ("id", "string"), ("accepted", "boolean")]
+    assert {(r.client, r.id): r.accepted for r in got.collect()} == {(c, i): c != "audit|10.0.0.1" or i not in ("e3", "e4", "e5", "e6") for c, i, _ in rows}

@@ -26,10 +26,17 @@ vocab as (
 
 
 def runs(tokens: str, key: str = "doc_id", name: str = "runs", seed_df: int = 4, words: int = 3) -> str:
-    """Maximal runs without seeding: every shared word is met."""
-    return f"""{name}_met as (
-  select d.{key} as doc_id, c.work, d.tok, c.pos, d.tok - c.pos as diag, v.idf, v.df
-  from {tokens} d join ctok c on d.fold = c.fold join vocab v on v.fold = c.fold),
+    """Maximal runs of three words or more: only diagonals that hold three words in a row, one of them rare, are laid out."""
+    ahead = lambda k, at: f"lead(fold, 1) over (partition by {k} order by {at}) as f1, lead(fold, 2) over (partition by {k} order by {at}) as f2"
+    return f"""{name}_rare as (select fold from vocab where df <= {seed_df}),
+{name}_work as materialized (
+  select * from (select work, pos, fold, {ahead('work', 'pos')} from ctok) g
+  where fold in (select fold from {name}_rare) or f1 in (select fold from {name}_rare) or f2 in (select fold from {name}_rare)),
+{name}_said as materialized (select {key} as doc_id, tok, fold, {ahead(key, 'tok')} from {tokens}),
+{name}_diag as materialized (select distinct d.doc_id, c.work, d.tok - c.pos as diag from {name}_said d join {name}_work c on d.fold = c.fold and d.f1 = c.f1 and d.f2 = c.f2),
+{name}_laid as materialized (select k.doc_id, k.work, k.diag, c.pos, c.pos + k.diag as tok, c.fold from {name}_diag k join ctok c on c.work = k.work),
+{name}_met as materialized (
+  select l.*, v.idf, v.df from {name}_laid l join {name}_said d on d.doc_id = l.doc_id and d.tok = l.tok and d.fold = l.fold join vocab v on v.fold = l.fold),
 {name}_isl as (select *, tok - row_number() over (partition by doc_id, work, diag order by tok) as island from {name}_met),
 {name} as (
   select doc_id, work, min(tok) as d0, max(tok) + 1 as d1, min(pos) as b0, max(pos) + 1 as b1, count(*) as words,

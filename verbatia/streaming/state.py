@@ -50,8 +50,8 @@ def fold_sorted(rows: DataFrame, step, start, result: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names)
 
     names = [key, event_id, result]
-    line = rows.withColumns({key: F.col(key).cast("long"), event_id: F.col(event_id).cast("long")}).repartition(key)
-    return line.sortWithinPartitions(key, F.asc_nulls_last("t"), event_id).mapInArrow(run, f"{key} long, {event_id} long, {result} boolean")
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, event_id)]
+    return rows.repartition(key).sortWithinPartitions(key, F.asc_nulls_last("t"), event_id).mapInArrow(run, f"{', '.join(kinds)}, `{result}` boolean")
 
 
 def rate_limit(events: DataFrame, limit: int = 10, seconds: int = 60, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
