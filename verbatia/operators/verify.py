@@ -22,7 +22,7 @@ def exact_occurrences(quotes: DataFrame, corpus: Corpus, key: str = "quote_id")
     longest = quotes.agg(F.max(n)).first()[0] or 1
     ahead = F.collect_list("fold").over(line.rowsBetween(0, longest - 1))
     streams = corpus.tokens.select("work", F.col("pos").alias("p0"), F.col("fold").alias("first"), ahead.alias("ahead"))
-    asked = quotes.filter(n > 0).select(key, "words", F.col("words")[0].alias("first"))
+    asked = quotes.filter(n > 0).select(key, "words", F.get("words", F.lit(0)).alias("first"))
     met = asked.join(corpus.small(streams), "first").filter(F.slice("ahead", F.lit(1), n) == F.col("words"))
     return met.select(key, "work", "p0", (F.col("p0") + n).alias("p1"))
 

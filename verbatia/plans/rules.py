@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verbatia.operators import spellings
+from verbatia.operators import approximate, extract, proposals, spellings
 from verbatia.plans import queries as q
 from verbatia.plans.sql import CORPUS, tokens_of
 
@@ -33,6 +33,25 @@ def form_occurrences(spark, sf):
     return spellings.occurrences_by_forms(quotes, corpus)
 
 
+def _quotations(spark, sf):
+    """Marked spans, whose bounds are the writer's own, and runs with edits, whose bounds the search has found; their citations are unknown."""
+    words = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+    marked = extract.marked_spans(q._docs(spark, sf)).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("m"), F.col("s").cast("string")).alias("quote_id"), words(F.col("found")).alias("words"), F.lit(True).alias("bounded"))
+    runs = approximate.approximate_runs(q._docs(spark, sf), q._corpus(spark, sf)).select("doc_id", "d0", "d1").distinct()
+    said = q._docs(spark, sf).select("doc_id", words(F.col("text")).alias("w"))
+    found = runs.join(said, "doc_id").select(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("r"), F.col("d0").cast("string"), F.col("d1").cast("string")).alias("quote_id"), F.slice("w", F.col("d0").cast("int") + 1, (F.col("d1") - F.col("d0")).cast("int")).alias("words"), F.lit(False).alias("bounded"))
+    rows = marked.unionByName(found).withColumn("folds", F.transform("words", F.lower))
+    return rows.withColumns({c: F.lit(None).cast("long") for c in ("ref_work", "ref_unit0", "ref_unit1")})
+
+
+@query
+def wording_proposals(spark, sf):
+    """What may be corrected in every marked span of the documents and in every run with edits."""
+    rows = proposals.propose(_quotations(spark, sf), q._corpus(spark, sf))
+    written = F.array_join(F.transform("edits", lambda e: F.concat(e["i1"].cast("string"), F.lit("-"), e["i2"].cast("string"), F.lit("="), F.array_join(e["words"], " "))), "; ")
+    return rows.withColumn("edits", written)
+
+
 def _forms(words: str, name: str) -> str:
     """Rows (fold, form) of a table of words."""
     paired = "fold"
