@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verbatia.operators import approximate, extract, proposals, spellings
+from verbatia.operators import approximate, citation_grammar, extract, intervals, proposals, reconcile, spellings
+from verbatia.plans import findings
 from verbatia.plans import queries as q
 from verbatia.plans.sql import CORPUS, tokens_of
 
@@ -52,6 +53,32 @@ def wording_proposals(spark, sf):
     return rows.withColumn("edits", written)
 
 
+@query
+def written_citations(spark, sf):
+    """Citations of all forms in the documents; the works are named by their first three words."""
+    c = q._corpus(spark, sf)
+    sizes = c.bounds.groupBy("work").agg(F.count("*").alias("n_units"))
+    heads = c.tokens.filter("pos < 3").groupBy("work").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fold"))), lambda x: x["fold"]), " ").alias("name"))
+    return citation_grammar.citations(q._docs(spark, sf), heads.join(sizes, "work"))
+
+
+@query
+def merged_candidates(spark, sf):
+    """Disjoint runs of the documents and spans that cue words announce, brought together."""
+    c = q._corpus(spark, sf)
+    rare = c.tokens.join(c.vocab.filter("df <= 3"), "fold").select("fold", "work", "pos", "idf")
+    shared = q._tokens(spark, sf).join(c.small(rare), "fold").select("doc_id", "tok", "work", (F.col("tok") - F.col("pos")).alias("diag"), "idf")
+    hits = findings._cue_hits(spark, sf).filter("matched >= 3")
+    met = hits.join(shared.drop("idf"), ["doc_id", "work", "diag"]).filter("tok >= w0 and tok < w1")
+    said = met.groupBy("doc_id", "w0", "w1", "work", "diag").agg(F.min("tok").alias("d0"), (F.max("tok") + 1).alias("d1"))
+    said = said.select("doc_id", "d0", "d1", "w0", "w1", "work", (F.col("d0") - F.col("diag")).alias("b0"), (F.col("d1") - F.col("diag")).alias("b1"))
+    runs = q._runs(spark, sf).select("doc_id", "work", F.col("d0").alias("s"), F.col("d1").alias("e"), "b0", "b1", "mass")
+    runs = intervals.greedy_disjoint(runs, "doc_id", [-F.col("mass"), F.col("s"), F.col("e"), F.col("work")]).withColumnsRenamed({"s": "d0", "e": "d1"})
+    rows = reconcile.reconcile(runs, said)
+    written = F.transform("hints", lambda h: F.concat_ws(":", h["work"].cast("string"), h["p0"].cast("string"), h["p1"].cast("string")))
+    return rows.withColumn("hints", F.array_join(written, " "))
+
+
 def _forms(words: str, name: str) -> str:
     """Rows (fold, form) of a table of words."""
     paired = "fold"
