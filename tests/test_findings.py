@@ -97,3 +97,12 @@ def test_a_damaged_archive_is_refused():
     at = raw.index(b"word/document.xml") + 17
     raw[at : at + 4] = b"\xff\xff\xff\xff"
     assert files.docx_text(bytes(raw)) == (None, "damaged")
+
+
+def test_marks_conflict_letter_by_letter(spark):
+    pairs = [("été", "ete", True, False), ("ete", "été", False, True), ("côte", "coté", True, True), ("šő", "so", True, False), ("a", "b", False, False), ("كِتَابًا", "كتاب", False, False), ("كِتَابً", "كِتَاب", True, False), ("كِتَابًا", "كِتَاباً", False, False)]
+    rows = spark.createDataFrame([(n, *p) for n, p in enumerate(pairs)], "n int, a string, b string, one boolean, two boolean")
+    a, b = findings.mark_profile(F.col("a")), findings.mark_profile(F.col("b"))
+    got = rows.select("n", "one", "two", findings.marks_conflict(a, b).alias("x"), findings.marks_conflict(b, a).alias("y")).collect()
+    assert [(r.x, r.y) for r in sorted(got)] == [p[2:] for p in pairs]
+    assert [r.m for r in spark.createDataFrame([("őš1",)], "w string").select(findings.letter_marks(F.col("w")).alias("m")).collect()] == [["o:\u030b", "s:\u030c"]]

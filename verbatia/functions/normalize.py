@@ -49,6 +49,11 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike(MARKS), _composed("NFC", text)).otherwise(text)
 
 
+def nfd(text: Column) -> Column:
+    """Canonical decomposition: letters followed by their marks; ASCII texts are left as they are."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _composed("NFD", text)).otherwise(text)
+
+
 def presentation_forms(text: Column) -> Column:
     """Arabic presentation forms as their base letters; other characters are left as they are."""
     return F.when(text.rlike(r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFE}]"), _composed("NFKC", text)).otherwise(text)

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Letters of Latin scripts with a mark, and the same as a letter followed by the mark (fixed values).
-MARKED_LETTERS = {"ä": "ä", "ö": "ö", "ü": "ü", "é": "é", "è": "è", "ê": "ê", "ç": "ç", "ñ": "ñ", "á": "á", "í": "í", "ó": "ó", "ú": "ú"}
-
+from verbatia.functions.normalize import nfd
 
 def line_column(text: Column, at: Column) -> Column:
     """Line and column, from 1, of a code-point offset."""
@@ -24,13 +22,36 @@ def fold_map(text: Column) -> Column:
 
 
 def letter_marks(word: Column) -> Column:
-    """Letters of a word with the marks on each, as strings ``letter:marks``."""
-    for letter, apart in MARKED_LETTERS.items():
-        word = F.replace(word, F.lit(letter), F.lit(apart))
-    units = F.regexp_extract_all(word, F.lit(r"\p{L}\p{M}*"), F.lit(0))
+    """Letters of a word with the marks on each, as strings ``letter:marks``, by canonical decomposition."""
+    units = F.regexp_extract_all(nfd(word), F.lit(r"\p{L}\p{M}*"), F.lit(0))
     return F.transform(units, lambda u: F.concat(F.substring(u, 1, 1), F.lit(":"), F.substring(u, 2, 99)))
 
 
+#: Nunation that may stand on the letter before a final alef or on the alef.
+NUNATION, FINAL_ALEF = "\u064b", "\u0627"
+
+
+def mark_profile(word: Column) -> Column:
+    """(letter, marks) of each letter of a word; nunation on a final alef counts for the letter before it."""
+    word = F.regexp_replace(word, f"(\\p{{M}}*){FINAL_ALEF}{NUNATION}$", f"$1{NUNATION}{FINAL_ALEF}")
+    return F.transform(letter_marks(word), lambda u: F.struct(F.substring(u, 1, 1).alias("letter"), F.array_distinct(F.filter(F.split(F.substring(u, 3, 99), ""), lambda m: m != "")).alias("marks")))
+
+
+def marks_conflict(quote: Column, source: Column) -> Column:
+    """Whether a word's profile has a mark that the source's has not at the same letter; marks left out are none. Words of other letters have no conflict."""
+    same = F.transform(quote, lambda x: x["letter"]) == F.transform(source, lambda x: x["letter"])
+    beyond = F.zip_with(quote, source, lambda a, b: F.size(F.array_except(a["marks"], b["marks"])) > 0)
+    return same & F.exists(beyond, lambda x: x)
+
+
+def marked_pairs(words: DataFrame, word: str = "fold") -> DataFrame:
+    """(fold, other, conflict, other_conflict): distinct words with the same letters and other marks, and which has a mark that the other lacks there."""
+    rows = words.select(F.col(word).alias("fold")).filter("fold is not null").distinct().withColumn("p", mark_profile(F.col("fold")))
+    rows = rows.withColumn("bare", F.array_join(F.transform("p", lambda x: x["letter"]), "")).filter("bare <> ''")
+    met = rows.alias("a").join(rows.select(F.col("fold").alias("other"), F.col("p").alias("q"), "bare"), "bare").filter("fold < other")
+    return met.select("fold", "other", marks_conflict(F.col("p"), F.col("q")).alias("conflict"), marks_conflict(F.col("q"), F.col("p")).alias("other_conflict"))
+
+
 def place_label(work: Column, unit0: Column, unit1: Column) -> Column:
     """Written place of one unit or a range of them."""
     return F.concat(work.cast("string"), F.lit(":"), unit0.cast("string"), F.when(unit1 > unit0, F.concat(F.lit("-"), unit1.cast("string"))).otherwise(""))

@@ -56,6 +56,12 @@ def diacritic_profiles(spark, sf):
     return p.select("fold", F.size("p").cast("long").alias("letters"), F.size(F.filter("p", lambda x: ~x.endswith(":"))).cast("long").alias("marked"), F.md5(F.array_join("p", " ").cast("binary")).alias("profile_md5"))
 
 
+@query
+def marked_pairs(spark, sf):
+    """Words of the documents with the same letters and other marks."""
+    return findings.marked_pairs(q._tokens(spark, sf))
+
+
 @query
 def finding_labels(spark, sf):
     p = _places(spark, sf)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from verbatia.operators.findings import MARKED_LETTERS
+import unicodedata
+
 from verbatia.plans.sql import BASE, CORPUS, DOC, MARKED, NUMERIC, OFFSETS, TIER, TOKEN, greedy, spans_of
 
 #: A copy of every item with a word misspelt.
@@ -31,12 +32,17 @@ chg as materialized (select h.doc_id, h.work, h.tok, h.tok - h.diag as pos, d.ra
   from hole h join dtok d on d.doc_id = h.doc_id and d.tok = h.tok join ctok c on c.work = h.work and c.pos = h.tok - h.diag)"""
 
 
-def _apart(word: str) -> str:
-    for letter, apart in MARKED_LETTERS.items():
-        word = f"replace({word}, '{letter}', '{apart}')"
-    return word
+def _letters() -> str:
+    """Values (letter, parts) of all letters of the Latin, Greek and Cyrillic blocks that are composed."""
+    blocks = (*range(0xC0, 0x530), *range(0x1E00, 0x2000))
+    return ", ".join(f"('{chr(c)}', '{apart}')" for c in blocks if (apart := unicodedata.normalize("NFD", chr(c))) != chr(c) and unicodedata.category(chr(c))[0] == "L")
 
 
+#: Each distinct word of the documents as letters with their marks, ``letter:marks``.
+APART = f"""letters(letter, parts) as (values {_letters()}),
+spelt as (select fold, unnest(string_split(fold, '')) as c, generate_subscripts(string_split(fold, ''), 1) as i from (select distinct fold from dtok) w),
+parted as (select fold, string_agg(coalesce(parts, c), '' order by i) as word from spelt left join letters on c = letter group by fold),
+profiles as materialized (select fold, list_transform(regexp_extract_all(word, '\\p{{L}}\\p{{M}}*'), lambda x: regexp_extract(x, '^\\p{{L}}') || ':' || regexp_extract(x, '\\p{{M}}*$')) as p from parted)"""
 CUED = """cue(fold, kind) as (values ('the', 'article'), ('that', 'lead_in'), ('which', 'lead_in'), ('for', 'lead_in'), ('der', 'article'), ('la', 'article')),
 stops as materialized (select doc_id, tok, lower(raw) as fold, coalesce(min(case when regexp_matches(gap, '[.!?\\n]') then tok end) over (partition by doc_id order by tok rows between 1 following and unbounded following),
   max(tok) over (partition by doc_id) + 1) as stop from doff),
@@ -63,9 +69,14 @@ select z.doc_id, len(string_split(substring(d.text, 1, z.start), chr(10))) as li
     "fold_index_map": """with c as (select doc_id, regexp_extract_all(text, '(?s).') as l from documents),
 k as (select doc_id, list_filter(list_zip(l, range(len(l))), lambda p: not regexp_matches(p[1], '[\\p{M}­]')) as k from c)
 select doc_id, len(k) as n, coalesce(cast(list_sum(list_transform(k, lambda p: p[2])) as bigint), 0) as sum_at, md5(lower(array_to_string(list_transform(k, lambda p: p[1]), ''))) as folded_md5 from k""",
-    "diacritic_profiles": f"""with {DOC}, w as (select distinct fold from dtok), u as (select fold, regexp_extract_all({_apart('fold')}, '\\p{{L}}\\p{{M}}*') as u from w),
-p as (select fold, list_transform(u, lambda x: regexp_extract(x, '^\\p{{L}}') || ':' || regexp_extract(x, '\\p{{M}}*$')) as p from u)
-select fold, len(p) as letters, len(list_filter(p, lambda x: not suffix(x, ':'))) as marked, md5(array_to_string(p, ' ')) as profile_md5 from p""",
+    "diacritic_profiles": f"""with {DOC}, {APART}
+select fold, len(p) as letters, len(list_filter(p, lambda x: not suffix(x, ':'))) as marked, md5(array_to_string(p, ' ')) as profile_md5 from profiles""",
+    "marked_pairs": f"""with {DOC}, {APART},
+bare as materialized (select fold, list_transform(p, lambda x: x[1]) as l, list_transform(p, lambda x: x[3:]) as m from profiles where len(p) > 0),
+met as (select a.fold, b.fold as other, a.m as ma, b.m as mb from bare a join bare b on a.l = b.l and a.fold < b.fold)
+select fold, other,
+       len([i for i in range(1, len(ma) + 1) if len([x for x in string_split(ma[i], '') if x <> '' and not contains(mb[i], x)]) > 0]) > 0 as conflict,
+       len([i for i in range(1, len(ma) + 1) if len([x for x in string_split(mb[i], '') if x <> '' and not contains(ma[i], x)]) > 0]) > 0 as other_conflict from met""",
     "finding_labels": f"""{BASE},\n{UNITS}, g as (select doc_id, d0, d1, count(*) as n, min(struct_pack(work := work, b0 := b0, u0 := unit0, u1 := unit1)) as x from pl group by doc_id, d0, d1)
 select doc_id, d0, d1, x.work || ':' || x.u0 || case when x.u1 > x.u0 then '-' || x.u1 else '' end as label, n || case when n = 1 then ' place' else ' places' end as places from g""",
     "detections": f"""{PLACED},\n{MARKS},
