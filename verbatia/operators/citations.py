@@ -33,11 +33,30 @@ def named_references(docs: DataFrame, works: DataFrame, key: str = "doc_id", tex
     return met.select(key, "s", "e", "found", "work", F.col("n")[0].alias("unit0"), last.alias("unit1"), problem.alias("problem"))
 
 
-def attach_references(spans: DataFrame, refs: DataFrame, key: str = "doc_id", after: int = 40, before: int = 60) -> DataFrame:
+def hinted_references(spans: DataFrame, refs: DataFrame, key: str = "doc_id", within: int = 150, profile: Profile = GENERIC) -> DataFrame:
+    """(key, s, e, ref_s, ref_e): spans with a ``hint`` of their citation's words, and the citation that bears it out.
+
+    A citation (s, e, found) starts at most ``within`` characters from the span's end, and its words hold the hint's or are held by
+    them, folded. Spans choose in order, each the first citation that no span before it has. Places meet by blocks of that length, so
+    that only neighbours are compared.
+    """
+    fold = lambda c: F.trim(F.regexp_replace(profile.folded(c), r"\s+", " "))
+    asked = spans.select(key, "s", "e", fold(F.col("hint")).alias("_hint"), F.floor(F.col("e") / within).alias("_block")).filter("_hint <> ''")
+    near = F.explode(F.array(*(F.floor(F.col("s") / within) + d for d in (-1, 0, 1)))).alias("_block")
+    said = refs.select(key, F.col("s").alias("ref_s"), F.col("e").alias("ref_e"), fold(F.col("found")).alias("_found"), near).filter("_found <> ''")
+    met = asked.join(said, [key, "_block"]).filter((F.abs(F.col("ref_s") - F.col("e")) <= within) & (F.col("_found").contains(F.col("_hint")) | F.col("_hint").contains(F.col("_found"))))
+    # Of a document's few agreeing pairs each is taken, in order, if its span and its citation are still free.
+    pairs = met.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("s", "e", "ref_s", "ref_e"))).alias("pairs"))
+    free = lambda acc, x: ~F.exists(acc, lambda k: ((k["s"] == x["s"]) & (k["e"] == x["e"])) | ((k["ref_s"] == x["ref_s"]) & (k["ref_e"] == x["ref_e"])))
+    taken = F.aggregate("pairs", F.filter("pairs", lambda x: F.lit(False)), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return pairs.select(key, F.inline(taken))
+
+
+def attach_references(spans: DataFrame, refs: DataFrame, key: str = "doc_id", after: int = 40, before: int = 60, profile: Profile = GENERIC) -> DataFrame:
     """spans(key, s, e, ...) with the citation that belongs to each: columns ref_s and ref_e, null if none.
 
-    First the nearest citation behind a span and before the next span; then, for spans without one, the nearest
-    unused citation ahead of it and behind the span before. A citation serves one span, the nearer.
+    First the nearest citation behind a span and before the next span; then, if spans have a column ``hint``, a free citation that bears the
+    hint out; then, for spans without one, the nearest unused citation ahead of it and behind the span before. A citation serves one span, the nearer.
     """
     line = W.partitionBy(key).orderBy("s", "e")
     bounded = spans.withColumn("_next", F.lead("s").over(line)).withColumn("_last", F.lag("e").over(line))
@@ -51,6 +70,10 @@ def attach_references(spans: DataFrame, refs: DataFrame, key: str = "doc_id", af
 
     ahead = nearest(bounded, (F.col("ref_s") >= F.col("e")) & (F.col("ref_s") <= F.col("e") + after) & (F.col("_next").isNull() | (F.col("ref_s") < F.col("_next"))), F.col("ref_s") - F.col("e"))
     left = bounded.join(ahead, [key, "s", "e"], "left_anti")
+    if "hint" in spans.columns:
+        unused = refs.join(ahead.select(key, F.col("ref_s").alias("s"), F.col("ref_e").alias("e")), [key, "s", "e"], "left_anti")
+        ahead = ahead.unionByName(hinted_references(left, unused, key, profile=profile))
+        left = bounded.join(ahead, [key, "s", "e"], "left_anti")
     free = (F.col("ref_e") <= F.col("s")) & (F.col("ref_e") >= F.col("s") - before) & (F.col("_last").isNull() | (F.col("ref_s") >= F.col("_last")))
     behind = nearest(left, free, F.col("s") - F.col("ref_e")).join(ahead.select(key, "ref_s"), [key, "ref_s"], "left_anti")
     return spans.join(ahead.unionByName(behind), [key, "s", "e"], "left")
