@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatia.operators import approximate, citation_grammar, extract, intervals, proposals, reconcile, spellings
 from verbatia.plans import findings
 from verbatia.plans import queries as q
+from verbatia.plans.findings_sql import PLACED, REFS
 from verbatia.plans.sql import CORPUS, tokens_of
+from verbatia.streaming import edits
 
 QUERIES = {}
 
@@ -79,6 +82,16 @@ def merged_candidates(spark, sf):
     return rows.withColumn("hints", F.array_join(written, " "))
 
 
+@query
+def edits_in_order(spark, sf):
+    """Runs after all citations of their document have been rewritten one after the other, each three characters longer."""
+    spans = findings._spans(spark, sf).select("doc_id", "s", "e", F.row_number().over(W.partitionBy("doc_id").orderBy("s", "e")).alias("finding_id"))
+    line = W.partitionBy("doc_id").orderBy("s")
+    refs = extract.numeric_references(q._docs(spark, sf)).select("doc_id", "s", "e", (F.row_number().over(line) - 1).alias("seq"))
+    changes = refs.select("doc_id", "seq", (F.col("s") + 3 * F.col("seq")).alias("start"), (F.col("e") + 3 * F.col("seq")).alias("old_end"), (F.col("e") + 3 * F.col("seq") + 3).alias("new_end"))
+    return edits.edited(spans.withColumns({"z0": F.col("s"), "z1": F.col("e")}), changes).select("doc_id", "finding_id", "s", "e", "stale")
+
+
 def _forms(words: str, name: str) -> str:
     """Rows (fold, form) of a table of words."""
     paired = "fold"
@@ -89,6 +102,14 @@ def _forms(words: str, name: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "edits_in_order": f"""{PLACED},\n{REFS},
+found as (select doc_id, s, e, row_number() over (partition by doc_id order by s, e) as finding_id from sp),
+based as (select f.*, coalesce((select min(r.s) from ref r where r.doc_id = f.doc_id and r.s < f.s and f.s < r.e), f.s) as s0,
+                 coalesce((select max(r.e) from ref r where r.doc_id = f.doc_id and r.s < f.e and f.e < r.e), f.e) as e0 from found f)
+select doc_id, finding_id, s0 + 3 * (select count(*) from ref r where r.doc_id = b.doc_id and r.e <= b.s0) as s,
+       e0 + 3 * (select count(*) from ref r where r.doc_id = b.doc_id and r.e <= b.e0) as e,
+       exists (select 1 from ref r where r.doc_id = b.doc_id and r.s <= b.e and b.s <= r.e) as stale
+from based b""",
     "met_spellings": f"""with {tokens_of('dtok', 'documents', 'doc_id')}, words as (select distinct fold from dtok), {_forms('words', 'forms')}
 select distinct a.fold, b.fold as other from forms a join forms b using (form) where a.fold < b.fold""",
     "form_occurrences": f"""with {CORPUS},
