@@ -17,16 +17,15 @@ def without_conflicts(changes: DataFrame, key: str = "doc_id") -> DataFrame:
 def apply_changes(texts: DataFrame, changes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, n): texts with their disjoint changes (s, e, replacement) applied, pieces in order.
 
-    The pieces of a text are those between changes and the replacements; texts without a change pass.
+    A text's changes are gathered into one array, and the text is met and cut once; texts without a change pass.
     """
-    order = W.partitionBy(key).orderBy("s", "e")
-    rows = texts.select(key, text).join(changes, key)
-    piece = F.concat(F.substring(F.col(text), F.coalesce(F.lag("e").over(order), F.lit(0)) + 1, F.col("s") - F.coalesce(F.lag("e").over(order), F.lit(0))), F.col("replacement"))
-    pieces = rows.select(key, text, "s", "e", piece.alias("piece"))
-    whole = pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "piece"))), lambda x: x["piece"]), "").alias("head"), F.max("e").alias("e"), F.count("*").alias("n"))
-    done = texts.select(key, text).join(whole, key, "left")
-    tail = F.substring(F.col(text), F.col("e") + 1, F.length(text))
-    return done.select(key, F.when(F.col("n").isNull(), F.col(text)).otherwise(F.concat("head", tail)).alias(text), F.coalesce("n", F.lit(0)).alias("n"))
+    own = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "replacement"))).alias("own"))
+    rows = texts.select(key, text).join(own, key, "left")
+    last = lambda i: F.coalesce(F.get("own", i - 1)["e"], F.lit(0))
+    pieces = F.transform("own", lambda x, i: F.concat(F.substring(F.col(text), last(i) + 1, x["s"] - last(i)), x["replacement"]))
+    tail = F.substring(F.col(text), last(F.size("own")) + 1, F.length(text))
+    done = F.when(F.col("own").isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return rows.select(key, done.alias(text), F.coalesce(F.when(F.col("own").isNotNull(), F.size("own")), F.lit(0)).cast("long").alias("n"))
 
 
 def carry_decisions(old: DataFrame, new: DataFrame, on: list[str], order: list[str], decision: str = "decision") -> DataFrame:
