@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbatia.operators import approximate, citation_grammar, extract, intervals, proposals, reconcile, spellings
+from verbatia.operators import approximate, citation_grammar, continuations, extract, intervals, proposals, reconcile, spellings
 from verbatia.plans import findings
 from verbatia.plans import queries as q
 from verbatia.plans.findings_sql import PLACED, REFS
-from verbatia.plans.sql import CORPUS, tokens_of
+from verbatia.plans.sql import CORPUS, OFFSETS, tokens_of
 from verbatia.streaming import edits
 
 QUERIES = {}
@@ -92,6 +92,57 @@ def edits_in_order(spark, sf):
     return edits.edited(spans.withColumns({"z0": F.col("s"), "z1": F.col("e")}), changes).select("doc_id", "finding_id", "s", "e", "stale")
 
 
+#: Words before a quotation that let a caret after two words of it suggest.
+LEAD_INS = sorted(w for w, kind in findings.CUES.items() if kind == "lead_in")
+HIDDEN, SHORTEST = 4, 8
+
+
+def _carets(spark, sf):
+    """A caret before the last four words of every segment of eight words or more: at most forty words before it, the hidden next word,
+    and the number of words behind an opening mark directly before the segment."""
+    off = q._offsets(spark, sf)
+    line, seg = W.partitionBy("doc_id").orderBy("tok"), W.partitionBy("doc_id", "seg")
+    broken = F.when((F.col("tok") > 0) & F.col("gap").rlike(r"\A[ \t,;]*\z"), 0).otherwise(1)
+    at = off.withColumn("seg", F.sum(broken).over(line) - 1).withColumns({"first": F.min("tok").over(seg), "last": F.max("tok").over(seg)})
+    at = at.withColumn("marked", (F.col("tok") == F.col("first")) & F.col("gap").rlike(r'[«“{"]\s*\z'))
+    at = at.filter((F.col("last") - F.col("first") + 1 >= SHORTEST) & (F.col("marked") | (F.col("tok") > F.col("last") - HIDDEN - 40)))
+    typed = (F.col("tok") <= F.col("last") - HIDDEN) & (F.col("tok") > F.col("last") - HIDDEN - 40)
+    words = F.array_sort(F.collect_list(F.when(typed, F.struct("tok", "fold"))))
+    out = at.groupBy("doc_id", "seg").agg(words.alias("w"), F.max(F.when(F.col("marked"), F.col("last") - HIDDEN - F.col("first") + 1)).alias("since"), F.max(F.when(F.col("tok") == F.col("last") - HIDDEN + 1, F.col("fold"))).alias("hidden"))
+    return out.select("doc_id", "seg", F.col("w.fold").alias("words"), "since", "hidden")
+
+
+def _verdicts(spark, sf):
+    return continuations.judged(_carets(spark, sf), q._corpus(spark, sf), LEAD_INS)[0]
+
+
+@query
+def caret_verdicts(spark, sf):
+    """What the corpus holds of the words before every caret that two words or more match, and why nothing is suggested there."""
+    rows = _verdicts(spark, sf).filter("matched >= 2 or matched1 >= 2")
+    return rows.select("doc_id", "seg", "matched", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)).alias("places"), "mass", "matched1", F.coalesce(F.col("hi1") - F.col("lo1"), F.lit(0)).alias("places1"), "trigger", "blocked", "mends")
+
+
+def _choices(spark, sf):
+    return continuations.suggest(_carets(spark, sf), ["doc_id", "seg"], q._corpus(spark, sf), LEAD_INS)
+
+
+@query
+def caret_choices(spark, sf):
+    """What is suggested at every caret."""
+    return _choices(spark, sf)
+
+
+@query
+def caret_accuracy(spark, sf):
+    """By language: carets, carets with a suggestion, and first continuations whose first word is the hidden one."""
+    carets = _carets(spark, sf).select("doc_id", "seg", "hidden").join(q._docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    best = _choices(spark, sf).filter("rank = 1").select("doc_id", "seg", "kind", F.lower(F.substring_index("to_text", " ", 1)).alias("said"))
+    met = carets.join(best, ["doc_id", "seg"], "left")
+    right = (F.col("kind") == "continue") & (F.col("said") == F.col("hidden"))
+    return met.groupBy("lang").agg(F.count("*").alias("carets"), F.count("kind").alias("suggested"), F.count_if(F.col("kind") == "continue").alias("continued"), F.count_if(right).alias("hits"))
+
+
 def _forms(words: str, name: str) -> str:
     """Rows (fold, form) of a table of words."""
     paired = "fold"
@@ -101,7 +152,71 @@ def _forms(words: str, name: str) -> str:
     return f"{name} as (select distinct fold, unnest([fold, {paired}, {bare}]) as form from {words})"
 
 
+_GATES = continuations.Gates()
+_BAR = lambda bars, n: "case " + " ".join(f"when {n} = {k} then {v}" for k, v in bars[:-1]) + f" else {bars[-1][1]} end"
+_LED = ", ".join(f"'{w}'" for w in LEAD_INS)
+
+
+def _triggered(n: str, words: str, since: str) -> str:
+    return f"case when {since} - {n} between 0 and 1 then 'opener' when len({words}) > {n} and {words}[len({words}) - {n}] in ({_LED}) then 'cue' else 'distinct' end"
+
+
+#: Every place is laid beside every run whose last two words end there, word by word.
+CARETS = f"""with {CORPUS.replace('ctok as (', 'ctok as materialized (')},\n{OFFSETS},
+brk as (select doc_id, tok, lower(raw) as fold, gap, case when tok > 0 and regexp_full_match(gap, '[ \\t,;]*') then 0 else 1 end as b from doff),
+seg as (select *, sum(b) over (partition by doc_id order by tok) - 1 as seg from brk),
+span as (select *, min(tok) over s as f, max(tok) over s as l from seg window s as (partition by doc_id, seg)),
+carets as materialized (
+  select doc_id, cast(seg as bigint) as seg, coalesce(list(fold order by tok) filter (tok <= l - {HIDDEN} and tok > l - {HIDDEN} - 40), []) as w,
+         max(case when tok = l - {HIDDEN} + 1 then fold end) as hidden, max(case when tok = f and regexp_matches(gap, '[«“{{"]\\s*$') then l - {HIDDEN} - f + 1 end) as since
+  from span where l - f + 1 >= {SHORTEST} group by doc_id, seg),
+place as materialized (select c.work, c.pos, list(d.fold order by d.pos desc) as b from ctok c join ctok d on d.work = c.work and d.pos between c.pos - 39 and c.pos group by c.work, c.pos),
+run as materialized (select distinct list_reverse(w) as r from carets union select distinct list_reverse(w[1:len(w) - 1]) from carets),
+laid as materialized (
+  select r, work, pos, least(len(r), len(b)) as k, r[1:least(len(r), len(b))] as x, b[1:least(len(r), len(b))] as y
+  from run join place on r[1] = b[1] and r[2] = b[2]),
+common as materialized (select r, work, pos, coalesce(list_min(list_filter(range(1, k + 1), lambda i: x[i] <> y[i])) - 1, k) as n from laid),
+top as (select r, max(n) as n from common group by r),
+hit as materialized (select c.r, c.n, c.work, c.pos from common c join top t on t.r = c.r and t.n = c.n),
+massed as (select r, round(sum(idf), 6) as mass from (select r, unnest(r[1:n]) as fold from top) u join vocab using (fold) group by r),
+stat as materialized (select h.r, cast(h.n as integer) as n, count(*) as places, any_value(m.mass) as mass from hit h join massed m on m.r = h.r group by h.r, h.n),
+looked as (
+  select c.doc_id, c.seg, c.w, c.since, c.hidden, coalesce(a.n, 0) as matched, coalesce(a.places, 0) as places, a.mass, coalesce(b.n, 0) as matched1, coalesce(b.places, 0) as places1, b.mass as mass1
+  from carets c left join stat a on a.r = list_reverse(c.w) left join stat b on b.r = list_reverse(c.w[1:len(c.w) - 1])),
+named as (
+  select *, matched1 >= 3 and matched1 >= matched + 2 as wins, {_triggered('matched', 'w', 'since')} as trigger, {_triggered('matched1', 'w[1:len(w) - 1]', '(since - 1)')} as trigger1 from looked),
+verdict as materialized (
+  select *, case when matched < 2 or wins then 'no_match' when trigger = 'distinct' and matched < 4 then 'too_short'
+                 when mass < case when trigger = 'distinct' then {_GATES.distinct_mass} else {_BAR(_GATES.mass, 'matched')} end then 'too_common'
+                 when places > {_BAR(_GATES.places, 'matched')} then 'ambiguous' end as blocked,
+         coalesce(matched1 >= 3 and (matched < 3 or wins) and mass1 >= {_GATES.correction_mass} and places1 <= 2, false) as mends from named),
+asked as (
+  select doc_id, seg, w[len(w)] as odd, 0 as mend, matched as typed, places, list_reverse(w) as r from verdict where blocked is null
+  union all select doc_id, seg, w[len(w)], 1, matched1, places1, list_reverse(w[1:len(w) - 1]) from verdict where mends),
+ahead as (
+  select c.work, c.pos, c.unit, list(d.raw order by d.pos) as raws, list(d.fold order by d.pos) as folds
+  from ctok c join ctok d on d.work = c.work and d.unit = c.unit and d.pos > c.pos and d.pos <= c.pos + 6 group by c.work, c.pos, c.unit),
+choice as (
+  select a.doc_id, a.seg, a.typed, a.places, h.work, e.unit, h.pos,
+         case when mend = 0 then 'continue' when folds[2] = odd or folds[3] = odd then 'insert' else 'replace' end as kind,
+         array_to_string(case when mend = 0 then case when len(raws) <= 5 then raws else raws[1:4] end when folds[2] = odd then raws[1:1] when folds[3] = odd then raws[1:2] else raws[1:1] end, ' ') as to_text
+  from asked a join hit h on h.r = a.r join ahead e on e.work = h.work and e.pos = h.pos where mend = 0 or folds[1] <> odd),
+one as (select doc_id, seg, kind, typed, places, work, unit, arg_min(to_text, pos) as to_text from choice group by doc_id, seg, kind, typed, places, work, unit),
+listed as (
+  select *, cast(row_number() over (partition by doc_id, seg order by case kind when 'continue' then 0 when 'insert' then 1 else 2 end, typed desc, work, unit) as integer) as rank from one
+  qualify rank <= 4),
+counted as (select doc_id, seg, max(places) as most, count(distinct lower(to_text)) as texts, count(distinct (work, unit)) as units from listed group by doc_id, seg),
+final as (
+  select l.doc_id, l.seg, l.kind, l.typed, l.work, cast(l.unit as bigint) as unit, l.to_text, l.rank, greatest(c.most, c.units) as places, c.texts > 1 or c.units > 1 as ambiguous
+  from listed l join counted c on c.doc_id = l.doc_id and c.seg = l.seg)"""
+
+
 ORACLE: dict[str, str] = {
+    "caret_verdicts": f"{CARETS} select doc_id, seg, matched, places, mass, matched1, places1, trigger, blocked, mends from verdict where matched >= 2 or matched1 >= 2",
+    "caret_choices": f"{CARETS} select * from final",
+    "caret_accuracy": f"""{CARETS}, best as (select doc_id, seg, kind, lower(split_part(to_text, ' ', 1)) as said from final where rank = 1)
+select d.lang, count(*) as carets, count(b.kind) as suggested, count(*) filter (b.kind = 'continue') as continued, count(*) filter (b.kind = 'continue' and b.said = c.hidden) as hits
+from carets c join documents d on d.doc_id = c.doc_id left join best b on b.doc_id = c.doc_id and b.seg = c.seg group by d.lang""",
     "edits_in_order": f"""{PLACED},\n{REFS},
 found as (select doc_id, s, e, row_number() over (partition by doc_id order by s, e) as finding_id from sp),
 based as (select f.*, coalesce((select min(r.s) from ref r where r.doc_id = f.doc_id and r.s < f.s and f.s < r.e), f.s) as s0,

@@ -38,3 +38,16 @@ def load_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, float] | Non
         return None
     newest = spark.read.schema("version string, fetched_at double").parquet(f"{root}/pointers").orderBy(F.desc("fetched_at"), F.desc("version")).first()
     return (spark.read.parquet(f"{root}/versions/{newest.version}"), newest.fetched_at) if newest else None
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table below ``spark.checkpoint.dir``, which all executors share: read as often as wanted, computed once."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/checkpoints"
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
