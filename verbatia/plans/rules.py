@@ -10,6 +10,8 @@ from verbatia.plans import findings
 from verbatia.plans import queries as q
 from verbatia.plans.findings_sql import PLACED, REFS
 from verbatia.plans.sql import CORPUS, OFFSETS, tokens_of
+from verbatia.sources.corpus_source import publish
+from verbatia.sources.tables import shared_folder
 from verbatia.streaming import edits
 
 QUERIES = {}
@@ -143,6 +145,16 @@ def caret_accuracy(spark, sf):
     return met.groupBy("lang").agg(F.count("*").alias("carets"), F.count("kind").alias("suggested"), F.count_if(F.col("kind") == "continue").alias("continued"), F.count_if(right).alias("hits"))
 
 
+@query
+def corpus_source_units(spark, sf):
+    """The lines of every work, written as a version of the corpus source and read back through it."""
+    root = shared_folder(spark, "corpus")
+    lines = q._table(spark, sf, "benchmark").select(F.col("item_id").alias("work"), F.posexplode(F.split("text", "\n")).alias("unit", "text"))
+    publish(lines.filter("trim(text) <> ''"), root, 1, 0.0)
+    back = spark.read.format("corpus_units").option("path", root).load()
+    return back.select("work", "unit", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _forms(words: str, name: str) -> str:
     """Rows (fold, form) of a table of words."""
     paired = "fold"
@@ -212,6 +224,8 @@ final as (
 
 
 ORACLE: dict[str, str] = {
+    "corpus_source_units": """select cast(item_id as varchar) as work, i - 1 as unit, length(l[i]) as n_chars, md5(l[i]) as text_md5
+from (select item_id, string_split(text, chr(10)) as l from benchmark) x, unnest(range(1, len(l) + 1)) as t(i) where trim(l[i]) <> ''""",
     "caret_verdicts": f"{CARETS} select doc_id, seg, matched, places, mass, matched1, places1, trigger, blocked, mends from verdict where matched >= 2 or matched1 >= 2",
     "caret_choices": f"{CARETS} select * from final",
     "caret_accuracy": f"""{CARETS}, best as (select doc_id, seg, kind, lower(split_part(to_text, ' ', 1)) as said from final where rank = 1)

@@ -40,14 +40,18 @@ def load_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, float] | Non
     return (spark.read.parquet(f"{root}/versions/{newest.version}"), newest.fetched_at) if newest else None
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table below ``spark.checkpoint.dir``, which all executors share: read as often as wanted, computed once."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in a shared folder: read as often as wanted, computed once."""
+    path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
