@@ -100,3 +100,57 @@ def reconcile(runs: DataFrame, announced: DataFrame, key: str = "doc_id") -> Dat
 
     line = found.unionByName(said).repartition(key).sortWithinPartitions(key, "turn", "d0", "d1", "w0", "w1", "hints")
     return line.mapInArrow(run, f"`{key}` {runs.schema[key].dataType.simpleString()}, d0 long, d1 long, source string, announced boolean, hints array<struct<work:long,p0:long,p1:long>>")
+
+
+def merge(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, d0, d1, sources, announced, hints, others): disjoint candidates of all kinds; none replaces or shrinks one of a higher rank.
+
+    candidates(key, rank, d0, d1, source, announced, hints) are taken by rank, then by start, the longer first. One that overlaps candidates
+    already taken gives its source and mark to the first taken of them, and its hints if that has none; its own span stays in ``others`` with how
+    it lies to that. Words are halfopen ranges; an empty range meets nothing and is left out.
+    """
+    hint = "array<struct<work:long,p0:long,p1:long>>"
+    out = f"`{key}` {candidates.schema[key].dataType.simpleString()}, d0 long, d1 long, sources array<string>, announced boolean, hints {hint}, others array<struct<source:string,d0:long,d1:long,relation:string>>"
+
+    def relation(s: int, e: int, s2: int, e2: int) -> str:
+        if (s, e) == (s2, e2):
+            return "equal"
+        return "inside" if s2 <= s and e <= e2 else "around" if s <= s2 and e2 <= e else "crossing"
+
+    def rows(doc: object, kept: list[dict], kind: pa.DataType, schema: pa.Schema) -> pa.RecordBatch:
+        for c in kept:
+            c["sources"] = sorted(c["sources"])
+        columns = [pa.array([doc] * len(kept), kind), *(pa.array([c[f.name] for c in kept], f.type) for f in list(schema)[1:])]
+        return pa.RecordBatch.from_arrays(columns, [key, *(f.name for f in list(schema)[1:])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.list_(pa.struct([("work", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64())]))
+        other = pa.list_(pa.struct([("source", pa.string()), ("d0", pa.int64()), ("d1", pa.int64()), ("relation", pa.string())]))
+        schema = pa.schema([("key", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("sources", pa.list_(pa.string())), ("announced", pa.bool_()), ("hints", place), ("others", other)])
+        doc, kept, taken, kind = None, [], 0, None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, _, d0, d1, source, announced, hints in zip(*(c.to_pylist() for c in batch.columns)):
+                if kept and name != doc:
+                    yield rows(doc, kept, kind, schema)
+                    kept = []
+                doc = name
+                lo = bisect_left(kept, d0, key=lambda c: c["d0"])
+                lo -= lo > 0 and kept[lo - 1]["d1"] > d0
+                met = kept[lo : bisect_left(kept, d1, key=lambda c: c["d0"])]
+                if not met:
+                    taken += 1
+                    kept.insert(lo, {"d0": d0, "d1": d1, "sources": {source}, "announced": announced, "hints": hints, "others": [], "turn": taken})
+                    continue
+                first = min(met, key=lambda c: c["turn"])
+                first["sources"].add(source)
+                first["announced"] |= announced
+                first["hints"] = first["hints"] or hints
+                first["others"].append({"source": source, "d0": d0, "d1": d1, "relation": relation(d0, d1, first["d0"], first["d1"])})
+        if kept:
+            yield rows(doc, kept, kind, schema)
+
+    cols = [F.col(c).cast("long").alias(c) for c in ("d0", "d1")]
+    line = candidates.filter("d0 < d1").select(key, "rank", *cols, "source", "announced", F.col("hints").cast(hint).alias("hints"))
+    line = line.repartition(key).sortWithinPartitions(key, "rank", "d0", F.desc("d1"), "source", "hints")
+    return line.mapInArrow(run, out)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbatia.operators import approximate, citation_grammar, continuations, extract, intervals, proposals, reconcile, spellings
-from verbatia.plans import findings
+from verbatia.operators import approximate, citation_grammar, continuations, extract, intervals, phrases, proposals, reconcile, spellings
+from verbatia.plans import findings, full_audit
 from verbatia.plans import queries as q
 from verbatia.plans.findings_sql import PLACED, REFS
 from verbatia.plans.sql import CORPUS, OFFSETS, tokens_of
@@ -155,6 +155,27 @@ def corpus_source_units(spark, sf):
     return back.select("work", "unit", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _audited(spark, sf):
+    c = q._corpus(spark, sf)
+    sizes = c.bounds.groupBy("work").agg(F.count("*").alias("n_units"))
+    heads = c.tokens.filter("pos < 3").groupBy("work").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fold"))), lambda x: x["fold"]), " ").alias("name"))
+    return full_audit.audit_all(q._docs(spark, sf), c, dict.fromkeys(LEAD_INS, "lead_in"), phrases.prose_zipf(q._tokens(spark, sf)), heads.join(sizes, "work"))
+
+
+@query
+def full_audit_findings(spark, sf):
+    """Findings of all kinds in the documents, merged, cited and compared with the corpus."""
+    written = F.transform("edits", lambda e: F.concat(e["i1"].cast("string"), F.lit("-"), e["i2"].cast("string"), F.lit("="), F.array_join(e["words"], " ")))
+    return _audited(spark, sf).withColumns({"sources": F.array_join("sources", " "), "edits": F.array_join(written, "; ")})
+
+
+@query
+def full_audit_summary(spark, sf):
+    """Findings by what found them, verdict, reason and citation."""
+    rows = _audited(spark, sf).groupBy(F.array_join("sources", " ").alias("sources"), "status", "reason", "reference_status")
+    return rows.agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"), F.count_if("announced").alias("announced"))
+
+
 def _forms(words: str, name: str) -> str:
     """Rows (fold, form) of a table of words."""
     paired = "fold"
