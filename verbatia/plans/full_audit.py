@@ -2,7 +2,7 @@
 
 Each kind is found by its operator, in words of the text. Runs and announced spans are reconciled, all kinds are merged into disjoint candidates
 (marked before run and announced before pair), citations of all written forms are attached to them, and each is compared with the
-corpus: equal, with a proposed correction, or for review. Texts are tokenised once into a written table, and everything after it is joined on (document, word).
+corpus: equal, with a proposed correction, or for review. Texts and corpus are tokenised once into written tables, and everything after them is joined on (document, word).
 
 Cases: a null or empty text has no candidates. Repeated document keys are not allowed. Extra columns are left out. An empty corpus leaves
 marked spans, all for review.
@@ -76,6 +76,7 @@ def audit_all(docs: DataFrame, corpus: Corpus, announce: dict[str, str], zipf: D
     ``announce`` maps words to the kind of quotation that they announce, ``zipf`` (``prose_zipf``) opens the search for word pairs, ``names`` citations by name.
     """
     docs = docs.select("doc_id", "text")
+    corpus = Corpus(written(corpus.tokens), written(corpus.vocab), written(corpus.bounds), corpus.units)
     off = written(tokenize_with_offsets(docs, ["doc_id"]))
     tokens = off.select("doc_id", "tok", "fold")
     runs = written(found_runs(docs, tokens, corpus, bars))
