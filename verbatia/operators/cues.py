@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BLOCK = 64
+
 
 def cue_windows(tokens: DataFrame, cues: dict[str, str], most: int = 40, least: int = 2, stop: str = r"[.!?\n]") -> DataFrame:
     """(doc_id, w0, w1, kind): windows of words behind cue words (word: kind), up to the end of the sentence and ``most`` words.
@@ -13,8 +15,8 @@ def cue_windows(tokens: DataFrame, cues: dict[str, str], most: int = 40, least:
     tokens have the gap before each word. Of windows with the same end the one with the nearest cue stays, since its window
     lies inside the others; kinds are compared in alphabetical order where one word gives several.
     """
-    line = W.partitionBy("doc_id").orderBy("tok")
-    ends = F.min(F.when(F.col("gap").rlike(stop), F.col("tok"))).over(line.rowsBetween(1, W.unboundedFollowing))
+    back = W.partitionBy("doc_id").orderBy(F.desc("tok"))
+    ends = F.last(F.when(F.col("gap").rlike(stop), F.col("tok")), True).over(back.rowsBetween(W.unboundedPreceding, -1))
     last = F.max("tok").over(W.partitionBy("doc_id"))
     named = tokens.sparkSession.createDataFrame([*cues.items()], "fold string, kind string")
     placed = tokens.select("doc_id", "tok", "fold", F.coalesce(ends, last + 1).alias("stop"))
@@ -27,9 +29,11 @@ def cue_hits(windows: DataFrame, shared: DataFrame, least: int = 2) -> DataFrame
     """(doc_id, w0, w1, kind, work, diag, matched, mass): the best diagonal of each window by the rare words it shares with a work.
 
     shared(doc_id, tok, work, diag, idf) are rare words of documents that also stand in works. More words win, then the
-    rarer ones, then the first work and diagonal.
+    rarer ones, then the first work and diagonal. Windows and words meet by blocks of ``BLOCK`` words of the document.
     """
-    met = windows.join(shared, "doc_id").filter((F.col("tok") >= F.col("w0")) & (F.col("tok") < F.col("w1")))
+    blocks = F.explode(F.sequence(F.floor(F.col("w0") / BLOCK), F.floor((F.col("w1") - 1) / BLOCK)))
+    laid = windows.filter("w0 < w1").withColumn("block", blocks)
+    met = laid.join(shared.withColumn("block", F.floor(F.col("tok") / BLOCK)), ["doc_id", "block"]).filter((F.col("tok") >= F.col("w0")) & (F.col("tok") < F.col("w1")))
     votes = met.groupBy("doc_id", "w0", "w1", "kind", "work", "diag").agg(F.count("*").alias("matched"), F.round(F.sum("idf"), 6).alias("mass"))
     rank = F.row_number().over(W.partitionBy("doc_id", "w0", "w1").orderBy(F.desc("matched"), F.desc("mass"), "work", "diag"))
     return votes.filter(F.col("matched") >= least).withColumn("n", rank).filter("n = 1").drop("n")
