@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verbatia.functions.normalize import GENERIC, Profile, ascii_digits
 from verbatia.operators.extract import pattern_spans
+from verbatia.operators.intervals import block, blocked
 
 #: A name of one or two words, an optional word or punctuation between, one or two numbers.
 NAMED = r"[\p{L}\p{M}]+(?: [\p{L}\p{M}]+)?[\s,:،]{1,3}(?:[\p{L}\p{M}]+[\s:]{1,2})?[0-9٠-٩۰-۹]{1,3}(?:\s?[-–—]\s?[0-9٠-٩۰-۹]{1,3})?"
@@ -62,18 +63,19 @@ def attach_references(spans: DataFrame, refs: DataFrame, key: str = "doc_id", af
     bounded = spans.withColumn("_next", F.lead("s").over(line)).withColumn("_last", F.lag("e").over(line))
     points = refs.select(key, F.col("s").alias("ref_s"), F.col("e").alias("ref_e"))
 
-    def nearest(a: DataFrame, cond, gap) -> DataFrame:
-        met = a.join(points, key).filter(cond).withColumn("_gap", gap)
+    def nearest(a: DataFrame, edge: str, point: str, within: int, side: int, cond, gap) -> DataFrame:
+        near = points.withColumn("_block", block(F.col(point), within))
+        met = blocked(a, F.col(edge), within, side).join(near, [key, "_block"]).drop("_block").filter(cond).withColumn("_gap", gap)
         mine = F.row_number().over(W.partitionBy(key, "s", "e").orderBy("_gap", "ref_s"))
         theirs = F.row_number().over(W.partitionBy(key, "ref_s").orderBy("_gap", "s"))
         return met.withColumn("_mine", mine).filter("_mine = 1").withColumn("_theirs", theirs).filter("_theirs = 1").select(key, "s", "e", "ref_s", "ref_e")
 
-    ahead = nearest(bounded, (F.col("ref_s") >= F.col("e")) & (F.col("ref_s") <= F.col("e") + after) & (F.col("_next").isNull() | (F.col("ref_s") < F.col("_next"))), F.col("ref_s") - F.col("e"))
+    ahead = nearest(bounded, "e", "ref_s", after, 1, (F.col("ref_s") >= F.col("e")) & (F.col("ref_s") <= F.col("e") + after) & (F.col("_next").isNull() | (F.col("ref_s") < F.col("_next"))), F.col("ref_s") - F.col("e"))
     left = bounded.join(ahead, [key, "s", "e"], "left_anti")
     if "hint" in spans.columns:
         unused = refs.join(ahead.select(key, F.col("ref_s").alias("s"), F.col("ref_e").alias("e")), [key, "s", "e"], "left_anti")
         ahead = ahead.unionByName(hinted_references(left, unused, key, profile=profile))
         left = bounded.join(ahead, [key, "s", "e"], "left_anti")
     free = (F.col("ref_e") <= F.col("s")) & (F.col("ref_e") >= F.col("s") - before) & (F.col("_last").isNull() | (F.col("ref_s") >= F.col("_last")))
-    behind = nearest(left, free, F.col("s") - F.col("ref_e")).join(ahead.select(key, "ref_s"), [key, "ref_s"], "left_anti")
+    behind = nearest(left, "s", "ref_e", before, -1, free, F.col("s") - F.col("ref_e")).join(ahead.select(key, "ref_s"), [key, "ref_s"], "left_anti")
     return spans.join(ahead.unionByName(behind), [key, "s", "e"], "left")

@@ -31,16 +31,27 @@ def greedy_disjoint(df: DataFrame, key: str, order: list[Column], s: str = "s",
     return out.select(key, F.inline(kept)).select(key, *cols)
 
 
+def block(at: Column, within: int) -> Column:
+    """The block of a key that holds a place; what lies at most ``within`` apart is in the same block or in neighbours."""
+    return F.floor(at / max(within, 1))
+
+
+def blocked(spans: DataFrame, at: Column, within: int, side: int) -> DataFrame:
+    """Spans once for the block of ``at`` and once for its neighbour on one side (1 or -1), in a column ``_block``."""
+    here = block(at, within)
+    return spans.withColumn("_block", F.explode(F.array(here, here + side)))
+
+
 def asof_forward(spans: DataFrame, points: DataFrame, key: str, within: int, e: str = "e", at: str = "at", value: str = "ref") -> DataFrame:
     """Each span with the first point that starts at or after its end, at most ``within`` away, or null."""
-    near = spans.alias("a").join(points.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"b.{at}") >= F.col(f"a.{e}")) & (F.col(f"b.{at}") <= F.col(f"a.{e}") + within), "left")
+    near = blocked(spans, F.col(e), within, 1).alias("a").join(points.withColumn("_block", block(F.col(at), within)).alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._block") == F.col("b._block")) & (F.col(f"b.{at}") >= F.col(f"a.{e}")) & (F.col(f"b.{at}") <= F.col(f"a.{e}") + within), "left")
     cols = [f"a.{c}" for c in spans.columns]
     return near.groupBy(*cols).agg(F.min_by(f"b.{value}", f"b.{at}").alias(value), F.min(f"b.{at}").alias(at))
 
 
 def asof_backward(spans: DataFrame, points: DataFrame, key: str, within: int, s: str = "s", at: str = "at", value: str = "ref") -> DataFrame:
     """Each span with the last point that ends at or before its start, at most ``within`` away, or null."""
-    near = spans.alias("a").join(points.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"b.{at}") <= F.col(f"a.{s}")) & (F.col(f"b.{at}") >= F.col(f"a.{s}") - within), "left")
+    near = blocked(spans, F.col(s), within, -1).alias("a").join(points.withColumn("_block", block(F.col(at), within)).alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._block") == F.col("b._block")) & (F.col(f"b.{at}") <= F.col(f"a.{s}")) & (F.col(f"b.{at}") >= F.col(f"a.{s}") - within), "left")
     cols = [f"a.{c}" for c in spans.columns]
     return near.groupBy(*cols).agg(F.max_by(f"b.{value}", f"b.{at}").alias(value), F.max(f"b.{at}").alias(at))
 
