@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatia.operators import approximate, citation_grammar, continuations, extract, intervals, phrases, proposals, reconcile, spellings
+from verbatia.operators.tokens import word_arrays
 from verbatia.plans import findings, full_audit
 from verbatia.plans import queries as q
 from verbatia.plans.findings_sql import PLACED, REFS
@@ -102,16 +103,17 @@ HIDDEN, SHORTEST = 4, 8
 def _carets(spark, sf):
     """A caret before the last four words of every segment of eight words or more: at most forty words before it, the hidden next word,
     and the number of words behind an opening mark directly before the segment."""
-    off = q._offsets(spark, sf)
-    line, seg = W.partitionBy("doc_id").orderBy("tok"), W.partitionBy("doc_id", "seg")
-    broken = F.when((F.col("tok") > 0) & F.col("gap").rlike(r"\A[ \t,;]*\z"), 0).otherwise(1)
-    at = off.withColumn("seg", F.sum(broken).over(line) - 1).withColumns({"first": F.min("tok").over(seg), "last": F.max("tok").over(seg)})
-    at = at.withColumn("marked", (F.col("tok") == F.col("first")) & F.col("gap").rlike(r'[«“{"]\s*\z'))
-    at = at.filter((F.col("last") - F.col("first") + 1 >= SHORTEST) & (F.col("marked") | (F.col("tok") > F.col("last") - HIDDEN - 40)))
-    typed = (F.col("tok") <= F.col("last") - HIDDEN) & (F.col("tok") > F.col("last") - HIDDEN - 40)
-    words = F.array_sort(F.collect_list(F.when(typed, F.struct("tok", "fold"))))
-    out = at.groupBy("doc_id", "seg").agg(words.alias("w"), F.max(F.when(F.col("marked"), F.col("last") - HIDDEN - F.col("first") + 1)).alias("since"), F.max(F.when(F.col("tok") == F.col("last") - HIDDEN + 1, F.col("fold"))).alias("hidden"))
-    return out.select("doc_id", "seg", F.col("w.fold").alias("words"), "since", "hidden")
+    rows = word_arrays(q._docs(spark, sf), ["doc_id"])
+    n, broken = F.size("raws"), lambda i: (i == 0) | ~F.get("gaps", i).rlike(r"\A[ \t,;]*\z")
+    rows = rows.withColumn("first", F.filter(F.sequence(F.lit(0), n - 1), broken))
+    rows = rows.withColumn("end", F.concat(F.slice("first", F.lit(2), F.size("first")), F.array(n)))
+    each = rows.select("doc_id", "raws", "gaps", F.posexplode(F.arrays_zip("first", "end")).alias("seg", "x")).select("doc_id", F.col("seg").cast("long").alias("seg"), "raws", "gaps", "x.first", "x.end")
+    # The caret stands before the word at ``caret``.
+    each = each.filter(F.col("end") - F.col("first") >= SHORTEST).withColumn("caret", F.col("end") - HIDDEN)
+    start = F.greatest("first", F.col("caret") - 40)
+    said = F.transform(F.slice("raws", start + 1, F.col("caret") - start), F.lower)
+    since = F.when(F.get("gaps", F.col("first")).rlike(r'[«“{"]\s*\z'), F.col("caret") - F.col("first"))
+    return each.select("doc_id", "seg", said.alias("words"), since.cast("long").alias("since"), F.lower(F.get("raws", F.col("caret"))).alias("hidden"))
 
 
 def _verdicts(spark, sf):
