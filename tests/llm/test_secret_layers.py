@@ -58,3 +58,21 @@ def test_large_and_damaged_members_end(fold):
     assert ("assign", 0, len(base64.b64encode(big))) in [x[:3] for x in find_secrets(base64.b64encode(big).decode())]
     find_secrets(base64.b64encode(big[: len(big) // 2]).decode())
     find_secrets(base64.b64encode(big[:20] + b"\0" * 40).decode())
+
+
+@pytest.mark.parametrize("case", [str, str.upper])
+@pytest.mark.parametrize("fold", [lambda x: x, gzip.compress, bz2.compress])
+def test_hexadecimal_layers(fold, case):
+    digits = case(fold(f"see {SECRET} here".encode()).hex())
+    for ahead, behind in (("", ""), ("dump: ", "."), ("x", "z")):
+        text = f"{ahead}{digits}{behind}"
+        found = [(s, e) for k, s, e, d in find_secrets(text) if k == "assign" and d]
+        assert found and all(len(ahead) <= s < e <= len(ahead) + len(digits) for s, e in found)
+        if fold(b"x") == b"x":
+            assert bytes.fromhex(text[slice(*found[0])]).decode() == SECRET
+
+
+def test_hexadecimal_layers_with_a_stray_digit_or_wrapped_over_lines():
+    digits = f"see {SECRET} here".encode().hex()
+    for text in ("a" + digits, digits + "a", digits[:40] + "\n" + digits[40:], base64.b64encode(digits.encode()).decode()):
+        assert "assign" in {k for k, *_ in find_secrets(text)}, text

@@ -1,7 +1,7 @@
 """Secret scan with a recursive decoding worklist.
 
 The text is scanned for secrets; then its percent escapes, character escapes (backslash u, U, x and
-character references), base64 runs, those wrapped over lines too, and compressed payloads (gzip, zlib, zstd, bzip2, xz inside base64)
+character references), base64 runs, those wrapped over lines too, runs of hexadecimal digits, and compressed payloads (gzip, zlib, zstd, bzip2, xz inside these)
 are unwrapped; zero bytes of wider encodings are left out. Each result is a layer that is scanned and unwrapped in turn until no new layer appears. A
 layer equal to one already seen for the same place is not entered again, so that self-reproducing
 payloads end. Every layer keeps, for each character, the range of the original text it comes from; a
@@ -56,6 +56,8 @@ WRAP = re.compile(r"(?<=[A-Za-z0-9+/_-]{16})(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-
 ZERO = re.compile("\0+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 JOINT = re.compile(r"[+/]")
+#: Hexadecimal digits of 16 bytes or more; fewer bytes hold no secret and no payload.
+DIGITS = re.compile(r"[0-9A-Fa-f]{32,}")
 #: First bytes of gzip, zlib, bzip2 and xz members and of zstd frames, which may be skippable ones.
 MEMBER = re.compile(rb"BZh[1-9]1AY&SY|\xfd7zXZ\0|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18")
 #: Turns bytes that occur in no pattern above into line ends, and the others into spaces.
@@ -259,17 +261,31 @@ def _payloads(layer: Layer) -> Iterator[Layer]:
             def place(s: int, e: int, start=start, size=size, n=n) -> tuple[int, int]:
                 return start + s * 4 // 3, start + (size if e == n else -(-e * 4 // 3))
 
-            yield Layer(raw.decode("latin-1"), layer, place)
-            at = 0
-            while found := MEMBER.search(raw, at):
-                full, end = False, -1
-                for piece, end in _inflate(raw, found.start()):
-                    full = full or bool(piece)
-                if full:
-                    whole = place(found.start(), end if end >= 0 else n)
-                    for text in _texts(_inflate(raw, found.start())):
-                        yield Layer(text, layer, lambda s, e, whole=whole: whole)
-                at = max(end, found.end())
+            yield from _unfolded(raw, layer, place)
+
+
+def _digits(layer: Layer) -> Iterator[Layer]:
+    """Layers inside runs of hexadecimal digits, two a byte; of an odd run either end may be the stray digit."""
+    for m in DIGITS.finditer(layer.text):
+        for begin in range(1 + len(m.group()) % 2):
+            start, size = m.start() + begin, len(m.group()) - len(m.group()) % 2
+            raw = bytes.fromhex(layer.text[start : start + size])
+            yield from _unfolded(raw, layer, lambda s, e, start=start: (start + 2 * s, start + 2 * e))
+
+
+def _unfolded(raw: bytes, layer: Layer, place) -> Iterator[Layer]:
+    """The layer of decoded bytes, and those of the compressed members that begin anywhere in them."""
+    yield Layer(raw.decode("latin-1"), layer, place)
+    at = 0
+    while found := MEMBER.search(raw, at):
+        full, end = False, -1
+        for piece, end in _inflate(raw, found.start()):
+            full = full or bool(piece)
+        if full:
+            whole = place(found.start(), end if end >= 0 else len(raw))
+            for text in _texts(_inflate(raw, found.start())):
+                yield Layer(text, layer, lambda s, e, whole=whole: whole)
+        at = max(end, found.end())
 
 
 def _layers(layer: Layer) -> Iterator[Layer]:
@@ -281,9 +297,11 @@ def _layers(layer: Layer) -> Iterator[Layer]:
     if "\0" in layer.text and (new := _replaced(layer, ZERO, lambda s: [])):
         yield new
     yield from _payloads(layer)
+    yield from _digits(layer)
     if ("\n" in layer.text or "\\n" in layer.text) and (joined := _replaced(layer, WRAP, lambda s: [])):
         joined.depth = layer.depth
         yield from _payloads(joined)
+        yield from _digits(joined)
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
