@@ -38,10 +38,10 @@ def marked(docs: DataFrame, off: DataFrame) -> DataFrame:
     return out.select("doc_id", "d0", "d1").filter("d0 < d1").distinct()
 
 
-def found_runs(docs: DataFrame, tokens: DataFrame, corpus: Corpus, bars: phrases.Thresholds) -> DataFrame:
+def found_runs(docs: DataFrame, corpus: Corpus, bars: phrases.Thresholds) -> DataFrame:
     """(doc_id, d0, d1, work, b0, b1): disjoint runs, exact and with edits, the rarest first; all places of each."""
     cols = ["doc_id", "d0", "d1", "work", "b0", "b1", "mass"]
-    exact = phrases.exact_runs(tokens, corpus, bars).withColumn("tier", phrases.tier(bars)).filter("tier <> 'hidden'").select(*cols, F.lit(0).alias("edits"))
+    exact = phrases.text_runs(docs, corpus, bars).withColumn("tier", phrases.tier(bars)).filter("tier <> 'hidden'").select(*cols, F.lit(0).alias("edits"))
     edited = approximate.approximate_runs(docs, corpus, bars).select(*cols, F.col("edits").cast("int").alias("edits"))
     every = written(exact.union(edited))
     spans = every.groupBy("doc_id", F.col("d0").alias("s"), F.col("d1").alias("e")).agg(F.max("mass").alias("mass"), F.min("edits").alias("edits"))
@@ -49,11 +49,11 @@ def found_runs(docs: DataFrame, tokens: DataFrame, corpus: Corpus, bars: phrases
     return every.join(kept.select("doc_id", F.col("s").alias("d0"), F.col("e").alias("d1")), ["doc_id", "d0", "d1"]).select(*cols[:-1]).distinct()
 
 
-def announced(tokens: DataFrame, off: DataFrame, corpus: Corpus, words: dict[str, str], least: int = 3, max_df: int = 3) -> DataFrame:
+def announced(docs: DataFrame, tokens: DataFrame, corpus: Corpus, words: dict[str, str], least: int = 3, max_df: int = 3) -> DataFrame:
     """(doc_id, d0, d1, w0, w1, work, b0, b1): what announced windows share with a work, from the first rare word to the last."""
     rare = corpus.tokens.join(corpus.vocab.filter(F.col("df") <= max_df), "fold").select("fold", "work", "pos", "idf")
     shared = tokens.join(corpus.small(rare), "fold").select("doc_id", "tok", "work", (F.col("tok") - F.col("pos")).alias("diag"), "idf")
-    hits = cues.cue_hits(cues.cue_windows(off, words), shared).filter(F.col("matched") >= least)
+    hits = cues.cue_hits(cues.text_windows(docs, words).drop("s", "e"), shared).filter(F.col("matched") >= least)
     met = hits.join(shared.drop("idf"), ["doc_id", "work", "diag"]).filter("tok >= w0 and tok < w1")
     said = met.groupBy("doc_id", "w0", "w1", "work", "diag").agg(F.min("tok").alias("d0"), (F.max("tok") + 1).alias("d1"))
     return said.select("doc_id", "d0", "d1", "w0", "w1", "work", (F.col("d0") - F.col("diag")).alias("b0"), (F.col("d1") - F.col("diag")).alias("b1"))
@@ -79,12 +79,12 @@ def audit_all(docs: DataFrame, corpus: Corpus, announce: dict[str, str], zipf: D
     corpus = Corpus(written(corpus.tokens), written(corpus.vocab), written(corpus.bounds), corpus.units)
     off = written(tokenize_with_offsets(docs, ["doc_id"]))
     tokens = off.select("doc_id", "tok", "fold")
-    runs = written(found_runs(docs, tokens, corpus, bars))
-    near = reconcile.reconcile(runs, announced(tokens, off, corpus, announce)).withColumn("rank", F.lit(1))
+    runs = written(found_runs(docs, corpus, bars))
+    near = reconcile.reconcile(runs, announced(docs, tokens, corpus, announce)).withColumn("rank", F.lit(1))
     own = marked(docs, off).select("doc_id", F.lit(0).alias("rank"), "d0", "d1", F.lit("marked").alias("source"), F.lit(False).alias("announced"), F.expr(NO_HINTS).alias("hints"))
     every = near.unionByName(own)
     if zipf is not None:
-        pairs = phrases.pair_hits(tokens, corpus, zipf, bars).select("doc_id", F.lit(2).alias("rank"), F.col("tok").alias("d0"), (F.col("tok") + 2).alias("d1"), F.lit("pair").alias("source"), F.lit(False).alias("announced"), F.expr(NO_HINTS).alias("hints"))
+        pairs = phrases.text_pair_hits(docs, corpus, zipf, bars).select("doc_id", F.lit(2).alias("rank"), F.col("tok").alias("d0"), (F.col("tok") + 2).alias("d1"), F.lit("pair").alias("source"), F.lit(False).alias("announced"), F.expr(NO_HINTS).alias("hints"))
         every = every.unionByName(pairs.distinct())
     merged = reconcile.merge(every)
     first = off.select("doc_id", F.col("tok").alias("d0"), F.col("start").alias("s"))
