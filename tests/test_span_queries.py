@@ -10,7 +10,7 @@ import pytest
 from verbatia.plans import findings, findings_sql, rules
 
 QUERIES, ORACLE = findings.QUERIES | rules.QUERIES, findings_sql.ORACLE | rules.ORACLE
-NAMES = ["attached_references", "edited_findings", "edits_in_order", "neighbour_limits"]
+NAMES = ["attached_references", "edited_findings", "edits_in_order", "neighbour_limits", "selected_findings"]
 
 
 def _word(r: random.Random) -> str:
