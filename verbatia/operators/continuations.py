@@ -129,15 +129,27 @@ def judged(carets: DataFrame, corpus: Corpus, cues: list[str] = (), distinct: bo
     ``dominates`` words more than the whole run does is held to be what is quoted, and its last word to be the odd one.
     """
     full = F.slice("words", F.greatest(F.size("words") - gates.run_words + 1, F.lit(1)), gates.run_words)
-    rows = carets.withColumn("words", full).withColumn("run", backwards(F.col("words")))
+    every = carets.withColumn("words", full)
+    # Only words of which the last two, or the two before the last, stand together in the corpus match anything: the others are neither written, sorted nor joined.
+    pairs = written(corpus.pairs.select("fold", "next_fold").distinct())
+    n, none = F.size("words"), {"matched": "int", "lo": "long", "hi": "long", "mass": "double"}
+    for side, back in (("", 1), ("1", 2)):
+        known = pairs.select(F.col("fold").alias("_a"), F.col("next_fold").alias("_b"), F.lit(True).alias(f"_met{side}"))
+        every = every.withColumns({"_a": F.get("words", n - back - 1), "_b": F.get("words", n - back)}).join(corpus.small(known), ["_a", "_b"], "left").drop("_a", "_b")
+    may = F.coalesce("_met", "_met1", F.lit(False))
+    rest = every.filter(~may).drop("_met", "_met1").withColumns({f"{c}{side}": F.lit(None).cast(kind) for side in ("", "1") for c, kind in none.items()})
+    rest = rest.withColumns({"matched": F.lit(0), "matched1": F.lit(0), "wins": F.lit(False)})
+    rows = every.filter(may).drop("_met", "_met1").withColumn("run", backwards(F.col("words")))
     rows = written(rows.withColumn("run1", backwards(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))))
     met, numbers = longest_matches(rows.select("run").union(rows.select("run1")), corpus, gates)
     met = written(met)
     name = {"matched": "matched1", "lo": "lo1", "hi": "hi1", "mass": "mass1"}
     rows = rows.join(met, "run", "left").join(met.withColumnsRenamed(name | {"run": "run1"}), "run1", "left").drop("run", "run1").fillna(0, ["matched", "matched1"])
     wins = (F.col("matched1") >= gates.correction_words) & (F.col("matched1") >= F.col("matched") + gates.dominates)
-    rows = rows.withColumn("wins", wins).withColumn("trigger", _trigger(F.col("words"), F.col("since"), F.col("matched"), cues, distinct, gates))
-    rows = rows.withColumn("trigger1", _trigger(F.slice("words", F.lit(1), F.size("words") - 1), F.col("since") - 1, F.col("matched1"), cues, distinct, gates))
+    triggers = {"trigger": _trigger(F.col("words"), F.col("since"), F.col("matched"), cues, distinct, gates)}
+    triggers["trigger1"] = _trigger(F.slice("words", F.lit(1), F.size("words") - 1), F.col("since") - 1, F.col("matched1"), cues, distinct, gates)
+    rows = rows.withColumn("wins", wins).withColumns(triggers)
+    rest = rest.withColumns(triggers | {"blocked": F.lit("no_match"), "mends": F.lit(False)})
     places, plain = F.col("hi") - F.col("lo"), F.col("trigger") == "distinct"
     blocked = F.when((F.col("matched") < 2) | F.col("wins"), "no_match").when(F.col("trigger").isNull(), "no_trigger")
     blocked = blocked.when(plain & (F.col("matched") < gates.distinct_words), "too_short")
@@ -145,7 +157,7 @@ def judged(carets: DataFrame, corpus: Corpus, cues: list[str] = (), distinct: bo
     blocked = blocked.when(places > _bar(gates.places, F.col("matched")), "ambiguous")
     mends = (F.col("matched1") >= gates.correction_words) & ((F.col("matched") < 3) | F.col("wins")) & F.col("trigger1").isNotNull()
     mends = mends & (F.col("mass1") >= gates.correction_mass) & (F.col("hi1") - F.col("lo1") <= gates.correction_places)
-    return rows.withColumn("blocked", blocked).withColumn("mends", F.coalesce(mends, F.lit(False))), numbers
+    return rows.withColumn("blocked", blocked).withColumn("mends", F.coalesce(mends, F.lit(False))).unionByName(rest), numbers
 
 
 def suggest(carets: DataFrame, keys: list[str], corpus: Corpus, cues: list[str] = (), distinct: bool = True, gates: Gates = Gates()) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatia.operators import approximate, citation_grammar, continuations, extract, intervals, phrases, proposals, reconcile, spellings
-from verbatia.operators.tokens import word_arrays
 from verbatia.plans import findings, full_audit
 from verbatia.plans import queries as q
 from verbatia.plans.findings_sql import PLACED, REFS
@@ -100,20 +99,24 @@ LEAD_INS = sorted(w for w, kind in findings.CUES.items() if kind == "lead_in")
 HIDDEN, SHORTEST = 4, 8
 
 
+#: A segment from its first word on, with the opening mark directly before it.
+SEGMENT, WORD = r'(?:[«“{"]\s*)?[\p{L}\p{M}][\p{L}\p{M} \t,;]*', r"[\p{L}\p{M}]+"
+
+
 def _carets(spark, sf):
-    """A caret before the last four words of every segment of eight words or more: at most forty words before it, the hidden next word,
-    and the number of words behind an opening mark directly before the segment."""
-    rows = word_arrays(q._docs(spark, sf), ["doc_id"])
-    n, broken = F.size("raws"), lambda i: (i == 0) | ~F.get("gaps", i).rlike(r"\A[ \t,;]*\z")
-    rows = rows.withColumn("first", F.filter(F.sequence(F.lit(0), n - 1), broken))
-    rows = rows.withColumn("end", F.concat(F.slice("first", F.lit(2), F.size("first")), F.array(n)))
-    each = rows.select("doc_id", "raws", "gaps", F.posexplode(F.arrays_zip("first", "end")).alias("seg", "x")).select("doc_id", F.col("seg").cast("long").alias("seg"), "raws", "gaps", "x.first", "x.end")
+    """A caret before the last four words of every segment of eight words or more: at most forty words before it, the hidden next word, the text's
+    language, and the number of words behind an opening mark directly before the segment.
+
+    A text is cut into segments and each of them into words, so that no row holds more than its own segment's.
+    """
+    cut = F.posexplode(F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0))).alias("seg", "said")
+    each = q._docs(spark, sf).select("doc_id", "lang", cut).withColumn("all", F.regexp_extract_all("said", F.lit(WORD), F.lit(0)))
     # The caret stands before the word at ``caret``.
-    each = each.filter(F.col("end") - F.col("first") >= SHORTEST).withColumn("caret", F.col("end") - HIDDEN)
-    start = F.greatest("first", F.col("caret") - 40)
-    said = F.transform(F.slice("raws", start + 1, F.col("caret") - start), F.lower)
-    since = F.when(F.get("gaps", F.col("first")).rlike(r'[«“{"]\s*\z'), F.col("caret") - F.col("first"))
-    return each.select("doc_id", "seg", said.alias("words"), since.cast("long").alias("since"), F.lower(F.get("raws", F.col("caret"))).alias("hidden"))
+    each = each.filter(F.size("all") >= SHORTEST).withColumn("caret", F.size("all") - HIDDEN)
+    start = F.greatest(F.lit(0), F.col("caret") - 40)
+    words = F.transform(F.slice("all", start + 1, F.col("caret") - start), F.lower)
+    since = F.when(F.col("said").rlike(r'\A[«“{"]'), F.col("caret"))
+    return each.select("doc_id", "lang", F.col("seg").cast("long").alias("seg"), words.alias("words"), since.cast("long").alias("since"), F.lower(F.get("all", F.col("caret"))).alias("hidden"))
 
 
 def _verdicts(spark, sf):
@@ -127,8 +130,8 @@ def caret_verdicts(spark, sf):
     return rows.select("doc_id", "seg", "matched", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)).alias("places"), "mass", "matched1", F.coalesce(F.col("hi1") - F.col("lo1"), F.lit(0)).alias("places1"), "trigger", "blocked", "mends")
 
 
-def _choices(spark, sf):
-    return continuations.suggest(_carets(spark, sf), ["doc_id", "seg"], q._corpus(spark, sf), LEAD_INS)
+def _choices(spark, sf, *more):
+    return continuations.suggest(_carets(spark, sf), ["doc_id", "seg", *more], q._corpus(spark, sf), LEAD_INS)
 
 
 @query
@@ -140,11 +143,12 @@ def caret_choices(spark, sf):
 @query
 def caret_accuracy(spark, sf):
     """By language: carets, carets with a suggestion, and first continuations whose first word is the hidden one."""
-    carets = _carets(spark, sf).select("doc_id", "seg", "hidden").join(q._docs(spark, sf).select("doc_id", "lang"), "doc_id")
-    best = _choices(spark, sf).filter("rank = 1").select("doc_id", "seg", "kind", F.lower(F.substring_index("to_text", " ", 1)).alias("said"))
-    met = carets.join(best, ["doc_id", "seg"], "left")
-    right = (F.col("kind") == "continue") & (F.col("said") == F.col("hidden"))
-    return met.groupBy("lang").agg(F.count("*").alias("carets"), F.count("kind").alias("suggested"), F.count_if(F.col("kind") == "continue").alias("continued"), F.count_if(right).alias("hits"))
+    carets = _carets(spark, sf).filter("doc_id is not null").groupBy("lang").agg(F.count("*").alias("carets"))
+    best = _choices(spark, sf, "lang", "hidden").filter("rank = 1 and doc_id is not null")
+    on, said = F.col("kind") == "continue", F.lower(F.substring_index("to_text", " ", 1))
+    met = best.groupBy("lang").agg(F.count("*").alias("suggested"), F.count_if(on).alias("continued"), F.count_if(on & (said == F.col("hidden"))).alias("hits"))
+    every = carets.unionByName(met, allowMissingColumns=True)
+    return every.groupBy("lang").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("carets", "suggested", "continued", "hits")])
 
 
 @query
