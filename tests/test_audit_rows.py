@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from verbatia.operators.citation_grammar import ARABIC_FORMS, ENGLISH_FORMS, Parser, folding
 from verbatia.plans.full_audit import quoted
 
@@ -61,3 +63,21 @@ def test_candidates_are_cut_from_their_text(spark):
     for (doc, d0, d1), x in rows.items():
         assert x.words == words[doc][d0:d1] and x.folds == [w.lower() for w in x.words] and x.quote_id == f"{doc}:{d0}:{d1}"
         assert x.quote == texts[doc][x.s : x.e] and x.quote.startswith(x.words[0]) and x.quote.endswith(x.words[-1])
+
+
+def test_words_are_counted_once(spark):
+    from verbatia.operators.phrases import prose_zipf
+    from verbatia.operators.tokens import tokenize
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text: str) -> str:
+        reads.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"one two w{i}") for i in range(20)], "doc_id long, text string").repartition(2)
+    docs = docs.select("doc_id", F.udf(read)("text").alias("text"))
+    zipf = prose_zipf(tokenize(docs, ["doc_id"]))
+    made = reads.value
+    both = zipf.join(zipf.select(F.col("fold").alias("other"), F.col("n").alias("m")), F.col("n") == F.col("m")).filter("fold = 'one'").collect()
+    assert {x.other for x in both} == {"one", "two", "w"} and reads.value == made >= 20
